@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,23 @@ def local_session(cpus: str | int = "*", memory: str = "8g", partitions: int = 8
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python (once per application), where it isn't installed there."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        place = os.path.join(tempfile.mkdtemp(prefix="siftstone-"), "siftstone.zip")
+        with zipfile.ZipFile(place, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(place)
+        _shipped.add(context.applicationId)
+    return spark
