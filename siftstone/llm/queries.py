@@ -19,8 +19,54 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit_from(docs, quality.grade_of(_table(spark, sf_dir, "labels"))))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"))
+
+
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.hostrules import host_rules
+
+    return host_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_substring_dedup, op2_decontaminate, op4_quality, op5_language, op6_minhash_neardup, op7_sharding, op8_host_rules, op9_mixing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -30,6 +76,10 @@ def oracle_sql() -> dict[str, str]:
 #: Words of a text in order; separators are space and TAB..CR.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_ALNUM = _WORDS.replace("coalesce(text, '')", _LOWER).replace(r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
 ORACLES = {
     "op1_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -42,4 +92,27 @@ ORACLES = {
               FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(r.n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)""",
+    "op6_minhash_neardup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER)} AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM i),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * k >= 80 * (ca.n + cb.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+        FROM d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op2_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+        v AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i:i + 12], ' ') AS k
+              FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        l AS (SELECT DISTINCT m FROM v),
+        p AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS k FROM (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, l)),
+        h AS (SELECT doc_id, i, m, item_id FROM p JOIN v USING (m, k)),
+        n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,21 +32,21 @@ def attach(large: DataFrame, small: DataFrame, on: list[str], how: str, row_byte
     return large.join(small, on, how)
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows of the same keys that come before in ``order``.
+def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds a column per entry of ``sums``: its sum over the rows of the same keys that come before in ``order``.
 
     Rows are range-partitioned by keys and order, summed per partition, and the
     partitions' totals (one row per partition and key) are summed ahead; no key's
     rows meet in one task. The placing is cut first, as it must not change between uses.
     """
     placed = cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    totals = placed.groupBy("_part", *keys).agg(F.sum(value).alias("_total"))
+    totals = placed.groupBy("_part", *keys).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
     ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = totals.select("_part", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"))
+    ahead = totals.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_a_{k}") for k in sums])
     within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    same = [summed["_part"] == ahead["_part"], *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
-    return summed.join(ahead, same).select(*rows.columns, (F.col("_ahead") + F.col("_within")).alias(out))
+    summed = placed.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_w_{k}") for k, v in sums.items()])
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    return summed.join(ahead, same).select(*rows.columns, *[(F.col(f"_a_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
 
 
 def components(edges: DataFrame) -> DataFrame:

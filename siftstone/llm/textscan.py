@@ -20,6 +20,9 @@ PIECE_BYTES = 2 << 20
 U64 = np.uint64
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of words of letters only (ASCII letters and all other characters beyond ASCII).
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Words(NamedTuple):
@@ -58,10 +61,10 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
-    """The words of every row; a null row has none."""
+def words(column: pa.Array, kind: np.ndarray = _IS_WORD) -> Words:
+    """The words of every row, runs of bytes of ``kind``; a null row has none."""
     data, offsets = _flat(column)
-    inside = _IS_WORD[data]
+    inside = kind[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     filled = offsets[:-1] < offsets[1:]
