@@ -43,6 +43,10 @@ def _windows(items: DataFrame) -> DataFrame:
     return items.where("size(w) > 0").select("item_id", "w", length.alias("m"), F.explode(starts).alias("i")).select("item_id", "m", F.array_join(F.expr("slice(w, i, m)"), " ").alias("win")).distinct()
 
 
+def _among(texts: list[str]):
+    return lambda x: x["win"].isin(texts)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZE) -> tuple[DataFrame, DataFrame]:
     """(rows, found): per row doc_id, text keys k1 and k2 and n_words; per distinct text with a hit, n_hit and the item ids."""
     items = cut(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")))
@@ -68,7 +72,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZE) -> tup
         short = [r["win"] for r in windows.where(F.col("m") == m).select("win").distinct().limit(set_size + 1).collect()]
         found = F.expr(f"transform(sequence(1, size(w) - {m - 1}), s -> named_struct('s', s, 'm', {m}, 'win', array_join(slice(w, s, {m}), ' ')))")
         if len(short) <= set_size:
-            found = F.filter(found, lambda x, short=short: x["win"].isin(short))
+            found = F.filter(found, _among(short))
         parts.append(F.when(F.size("w") >= m, found).otherwise(F.array().cast("array<struct<s:int,m:int,win:string>>")))
     rows = cut(rows.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), F.concat(*parts).alias("spans")))
     spread = rows.select("k1", "k2", F.explode("spans").alias("x")).select("k1", "k2", "x.s", "x.m", "x.win")

@@ -67,7 +67,7 @@ def plan(names: list, sizes: np.ndarray, blocks: int = BLOCKS, shards: int = SHA
     return [{"source": names[i], "source_size": int(sizes[i]), "target": float(goals[i]), "width": width, "quotas": [int(x) for x in quotas[:, i]]} for i in order]
 
 
-def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, keep_text_key: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row of ``docs``.
 
     size counts words (null text: 0). A source's words, in order of doc_id, are cut into blocks of one
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = S
     rows = cut(docs.select("doc_id", "source", F.size(words).cast("long").alias("size"), F.xxhash64("text").alias("_text")))
     totals = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
     if not totals:
-        return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long")
+        return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long" + ", _text long" * keep_text_key)
     sources = plan([r["source"] for r in totals], np.array([r["n"] for r in totals], np.int64), blocks, shards)
     width = sources[0]["width"]
     table = spark.createDataFrame([(s["source"], s["source_size"], s["target"], sum(s["quotas"]), -(-s["source_size"] // width)) for s in sources], "source string, source_size long, target double, quota long, held long")
@@ -102,4 +102,21 @@ def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = S
     each = parts.groupBy("doc_id", "source", "_text", "size", "start").agg(F.sum(F.coalesce("passes", F.lit(0)) * overlap).alias("taken"))
     empty = placed.where("size = 0").select("doc_id", "source", "_text", "size", "start", F.lit(0).cast("long").alias("taken"))
     out = each.union(empty).join(F.broadcast(table.drop("quota", "held")) if len(sources) < 100_000 else table.drop("quota", "held"), F.col("source").eqNullSafe(F.col("_source")))
-    return out.select("doc_id", F.col("size").cast("long").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return out.select("doc_id", F.col("size").cast("long").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"), *["_text"] * keep_text_key)
+
+
+def mixed(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
+    """The rows of ``docs``, all columns, in as many copies as the mix takes of them.
+
+    A document whose taken words are a fraction of its size is taken whole with that chance, by a
+    seeded hash of its id and text, so sources keep their weights. Texts without words aren't taken.
+    """
+    taken = mix(docs, seed, blocks, shards, keep_text_key=True)
+    share = F.sum("taken") / F.sum("size")
+    chance = F.pmod(F.xxhash64(F.lit(seed), "_d", "_t"), F.lit(1_000_003)) / 1_000_003.0
+    copies = taken.where("taken > 0").groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(share.alias("_share"))
+    copies = cut(copies.select("_d", "_t", F.floor(F.col("_share") + chance).cast("int").alias("_copies")).where("_copies > 0"))
+    keyed = docs.withColumn("_k", F.xxhash64("text"))
+    small = F.broadcast(copies) if copies.count() * 24 <= 32 << 20 else copies
+    out = keyed.join(small, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")))
+    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

@@ -204,3 +204,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     out = base.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each group; of rows alike in id and text one stays.
+
+    Of rows with one doc_id and different texts all stay or go together. Rows with a null doc_id stay.
+    """
+    found = near_duplicates(docs, shingle, percent)
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    small = F.broadcast(gone) if gone.count() * 8 <= 32 << 20 else gone
+    return docs.join(small, docs["doc_id"] == F.col("_gone"), "left_anti")

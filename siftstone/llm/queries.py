@@ -25,6 +25,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftstone.llm import quality
 
@@ -62,7 +68,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_substring_dedup, op2_decontaminate, op4_quality, op5_language, op6_minhash_neardup, op7_sharding, op8_host_rules, op9_mixing)
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftstone.llm.pii import find_personal
+
+    return find_personal(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES = (op1_substring_dedup, op2_decontaminate, op3_licenses, op4_quality, op5_language, op6_minhash_neardup, op7_sharding, op8_host_rules, op9_mixing, op10_personal_data, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
