@@ -74,56 +74,53 @@ def _sets(size: int):
     return scan
 
 
+def _slices(start: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of start[w]:start[w + 1] for each w, one after the other."""
+    n = start[which + 1] - start[which]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[which] - (ends - n), n)
+
+
 def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect exactly what all links (100 * shared >= percent * union) would connect.
 
     Sets of similarity s and sizes m <= n share a token among the rarest n - ceil(s * n) + 1
-    of each, so only those are indexed; pairs already connected are not compared again.
+    of each, so candidates come from those tokens alone. By size, each set is counted against all its candidates at
+    once through an index of all tokens, and linked once to each group among them.
     """
     n = len(sets)
-    tokens = np.concatenate(sets) if n else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, inverse, uses = np.unique(tokens, return_inverse=True, return_counts=True)
-    keep = uses[inverse] > 1
-    order = np.lexsort((inverse, uses[inverse], owner))
-    inverse, owner, keep = inverse[order], owner[order], keep[order]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    keep &= nth < sizes[owner] - -(-sizes[owner] * percent // 100) + 1
-    inverse, owner = inverse[keep], owner[keep]
-    order = np.lexsort((sizes[owner], inverse))
-    inverse, owner = inverse[order], owner[order]
-    above = list(range(n))
-
-    def top(x: int) -> int:
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    links: list[tuple[int, int]] = []
-    tried: set[int] = set()
-    cuts = np.flatnonzero(np.diff(inverse)) + 1
-    for group in np.split(owner, cuts):
-        if len(group) < 2:
-            continue
-        members, roots = group.tolist(), np.array([top(x) for x in group.tolist()])
-        if (roots == roots[0]).all():
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    _, token, uses = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    nth = np.lexsort((token, uses[token], owner))
+    token, owner = token[nth], owner[nth]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    rare = (np.arange(len(owner)) - first[owner] < sizes[owner] - -(-sizes[owner] * percent // 100) + 1) & (uses[token] > 1)
+    shared = uses[token] > 1
+
+    def index(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each set, and sets of each token."""
+        t, o = token[keep], owner[keep]
+        by = np.argsort(t, kind="stable")
+        return t, np.searchsorted(o, np.arange(n + 1)), o[by], np.searchsorted(t[by], np.arange(len(uses) + 1))
+
+    few, few_at, few_sets, few_start = index(rare)
+    all_, all_at, all_sets, all_start = index(shared)
+    root, links = np.arange(n), []
+    for b in range(1, n):
+        mine = few[few_at[b] : few_at[b + 1]]
+        near = few_sets[_slices(few_start, mine)]
+        near = np.unique(near[near < b])
+        near = near[sizes[near] * 100 >= percent * sizes[b]]
+        if not len(near):
             continue
-        low = np.searchsorted(sizes[group] * 100, sizes[group] * percent)
-        for j in range(1, len(members)):
-            b = members[j]
-            for i in (low[j] + np.flatnonzero(roots[low[j] : j] != roots[j])).tolist():
-                a = members[i]
-                pair = a * n + b if a < b else b * n + a
-                if pair in tried or roots[i] == roots[j]:
-                    continue
-                tried.add(pair)
-                shared = len(sets[a]) + len(sets[b]) - len(np.union1d(sets[a], sets[b]))
-                if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
-                    links.append((a, b))
-                    above[top(a)] = top(b)
-                    roots[roots == roots[i]] = roots[j]
+        met = np.bincount(all_sets[_slices(all_start, all_[all_at[b] : all_at[b + 1]])], minlength=n)[near]
+        near = near[100 * met >= percent * (sizes[near] + sizes[b] - met)]
+        for group, at in zip(*np.unique(root[near], return_index=True), strict=True):
+            links.append((int(order[near[at]]), int(order[b])))
+            root[root == group] = b
+        root[b] = b
     return links
 
 
