@@ -1,4 +1,4 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftstone.plans import detection, ranking, stored
+
+_PARTS = (detection, stored, ranking)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents (replaced once detectors are in)."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Where personal data is concentrated: the directories with the most findings, their risk and share."""
+    return detection.QUERIES["hotspots"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in _PARTS for name, text in part.SQL.items()}
