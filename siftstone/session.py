@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -41,3 +41,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(place)
         _shipped.add(context.applicationId)
     return spark
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder in spark.checkpoint.dir (one of its own where none is set, as in tests)."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftstone-checkpoint-"))
+    return df.checkpoint()
