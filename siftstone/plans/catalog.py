@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.plans import detection, ranking, stored
+from siftstone.plans import detection, fixtures, ranking, stored
 
-_PARTS = (detection, stored, ranking)
+_PARTS = (detection, stored, ranking, fixtures)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
