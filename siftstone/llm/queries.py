@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftstone.session import ship
 
@@ -59,7 +60,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftstone.llm.hostrules import host_rules
 
-    return host_rules(_table(spark, sf_dir, "documents"))
+    return host_rules(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op3_licenses": _licenses_sql()}
 
 
 #: Words of a text in order; separators are space and TAB..CR.
@@ -133,4 +134,43 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_host_rules": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+        v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM v),
+        r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM g WHERE n > 1) GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+        f AS (SELECT d.doc_id, d.source, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(regexp_replace(d.t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+              CAST(len(d.t) - len(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l.l) - len(list_distinct(l.l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+              FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+        h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM b GROUP BY source),
+        s AS (SELECT avg(failed / n) AS m, var_samp(failed / n) AS v FROM h),
+        q AS (SELECT m, CASE WHEN coalesce(v, 0) = 0 THEN 1000 ELSE least(greatest(m * (1 - m) / v - 1, 1), 1000) END AS c FROM s),
+        x AS (SELECT source, (failed + m * c) / (n + c) AS rate FROM h, q)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, NOT base_failed AND rate <= 0.5 AS kept
+        FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source""",
+    "op3_licenses": """
+        WITH k AS (SELECT sha256({known}) AS digest, min(license) AS license FROM (VALUES {texts}) t(license, body) GROUP BY 1),
+        l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]e|cc0|mozilla public'))) AS body FROM documents),
+        n AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices FROM (SELECT doc_id, sha256({known}) AS digest FROM l) JOIN k USING (digest) GROUP BY doc_id),
+        d AS (SELECT doc_id, sha256({whole}) AS digest FROM documents)
+        SELECT d.doc_id, d.digest, k.license, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices FROM d LEFT JOIN k USING (digest) LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
+
+
+def _licenses_sql() -> str:
+    from siftstone.llm.licenses import KNOWN, SPELLINGS
+
+    def canonical(text: str) -> str:
+        out = f"regexp_replace(lower({text}), '(?m)^[^a-z0-9\\n]*(?:copyright|©|\\(c\\))[^\\n]*$', ' ', 'g')"
+        out = f"regexp_replace({out}, '(?m)^[^a-z0-9\\n]*all rights reserved[^a-z0-9\\n]*$', ' ', 'g')"
+        out = f"concat(' ', regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+        for said, meant in SPELLINGS:
+            out = f"replace({out}, ' {said} ', ' {meant} ')"
+        out = f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+        return f"CASE WHEN {text} IS NOT NULL THEN {out} END"
+
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    texts = ", ".join(f"({quote(name)}, {quote(body)})" for name, body in KNOWN)
+    return ORACLES["op3_licenses"].format(known=canonical("body"), texts=texts, whole=canonical("text"))
