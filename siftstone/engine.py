@@ -195,7 +195,7 @@ class Engine:
         return graph.snapshot({name: self.store.get(name) for name in _TABLES if name not in _CATALOGUE})
 
     def records(self, table: str, limit: int = 50) -> DataFrame:
-        label = {"finding": F.concat_ws(" ", "rule", "path"), "file": F.col("path"), "scan": F.col("name"), "rule": F.col("name")}.get(table, F.col(_KEYS[table]))
+        label = graph.label(table) if table not in ("cwe", "feed", "path_model") else F.col(_KEYS[table])
         return search.records(self.store.get(table), _KEYS[table], label, limit)
 
     # changing

@@ -45,10 +45,23 @@ def closure(contained_in: DataFrame, depth: int = DEPTH) -> DataFrame:
     return reached.distinct()
 
 
+def label(kind: str) -> Column:
+    """How a record of a kind is called in listings."""
+    if kind == "finding":
+        return F.concat("rule", F.lit(" @ "), "path", F.lit(":"), "line")
+    if kind == "ast":
+        return F.concat("lang", F.lit(" ast"))
+    if kind == "indicators":
+        return F.concat(F.lit("indicators ("), *[x for c, sign in (("emails", "e "), ("domains", "d "), ("ips", "ip "), ("urls", "url "), ("hashes", "h)")) for x in (F.size(c), F.lit(sign))])
+    if kind == "event":
+        return F.concat("category", F.lit("/"), "action", F.lit(" "), "signature")
+    return F.col({"file": "path", "scan": "root"}.get(kind, "name"))
+
+
 def findings_graph(findings: DataFrame, files: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind, label) and edges (rel, src, dst): findings in files, flagged by rules of their name."""
     f = F.concat(F.lit("finding:"), F.col("finding_id"))
-    nodes = findings.select(f.alias("id"), F.lit("finding").alias("kind"), F.col("rule").alias("label"))
+    nodes = findings.select(f.alias("id"), F.lit("finding").alias("kind"), label("finding").alias("label"))
     nodes = nodes.union(files.select(F.concat(F.lit("file:"), F.col("hash")), F.lit("file"), F.col("path"))).union(rules.select(F.concat(F.lit("rule:"), F.col("name")), F.lit("rule"), F.col("name")))
     edges = findings.select(F.lit("in_file").alias("rel"), f.alias("src"), F.concat(F.lit("file:"), F.col("file_hash")).alias("dst"))
     flagged = findings.join(rules.select(F.col("name").alias("rule")).distinct(), "rule", "left_semi").select(F.lit("flagged_by"), f, F.concat(F.lit("rule:"), F.col("rule")))

@@ -162,7 +162,7 @@ def banner_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("s", targets.service(F.col("banner"))).select("s.service", "s.version")
 
 
-SQL["banner_services"] = values("service, version", [("ssh", "OpenSSH_9.6"), ("http", "nginx/1.2"), ("smtp", "mail ESMTP x"), (None, None)])
+SQL["banner_services"] = values("service, version", [("ssh", "OpenSSH_9.6"), ("http", "nginx/1.2"), ("smtp", "mail ESMTP x"), ("", "")])
 
 
 @query

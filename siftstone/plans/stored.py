@@ -23,7 +23,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finding per file version whose document number is divisible by three."""
     v = inputs.versions(spark, sf_dir)
     number = F.regexp_extract("abs", "([0-9]+)$", 1).cast("long")
-    return v.where(number % 3 == 0).select(F.concat("scan_id", F.lit("/"), "abs").alias("finding_id"), F.col("hash").alias("file_hash"), F.concat(F.lit("rule-"), number % 5).alias("rule"), F.col("abs").alias("path"), F.lit("high").alias("severity"))
+    return v.where(number % 3 == 0).select(F.concat("scan_id", F.lit("/"), "abs").alias("finding_id"), F.col("hash").alias("file_hash"), F.concat(F.lit("rule-"), number % 5).alias("rule"), F.col("abs").alias("path"), F.lit(1).alias("line"), F.lit("high").alias("severity"))
 
 
 _NUMBER = "CAST(regexp_extract(abs, '([0-9]+)$', 1) AS BIGINT)"
@@ -151,7 +151,7 @@ def neighbors_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(edges, nodes, ids)
 
 
-SQL["neighbors_one_hop"] = f"SELECT dst AS id, rel, 'in' AS direction, src AS other, f.rule AS label FROM ({_EDGES}) e JOIN ({_FINDINGS}) f ON e.src = concat('finding:', f.finding_id) WHERE dst IN ('rule:rule-0', 'rule:rule-1')"
+SQL["neighbors_one_hop"] = f"SELECT dst AS id, rel, 'in' AS direction, src AS other, concat(f.rule, ' @ ', f.path, ':1') AS label FROM ({_EDGES}) e JOIN ({_FINDINGS}) f ON e.src = concat('finding:', f.finding_id) WHERE dst IN ('rule:rule-0', 'rule:rule-1')"
 
 
 @query

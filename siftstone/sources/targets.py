@@ -9,14 +9,31 @@ import socket
 from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Host and port pairs of a sweep at most; fixed value.
 MOST = 65_536
-#: Usual ports, most common first; fixed values.
-PORTS = (80, 443, 22, 21, 25, 23, 53, 110, 143, 3389, 445, 139, 135, 3306, 8080, 1723, 111, 995, 993, 5900, 1025, 587, 8888, 199, 1720, 465, 548, 113, 81, 6001, 10000, 514, 5060, 179, 1026, 2000, 8443, 8000, 32768, 554, 26, 1433, 49152, 2001, 515, 8008, 49154, 1027, 5666, 646, 5000, 5631, 631, 49153, 8081, 2049, 88, 79, 5800, 106, 2121, 1110, 49155, 6000, 513, 990, 5357, 427, 49156, 543, 544, 5101, 144, 7, 389, 8009, 3128, 444, 9999, 5009, 7070, 5190, 3000, 5432, 1900, 3986, 13, 1029, 9, 5051, 6646, 49157, 1028, 873, 1755, 2717, 4899, 9100, 119, 37)
+#: Ports that a sweep asks first, by what they lead to: pages, remote access, files, mail, databases, directories, names,
+#: infrastructure, versions, printing and old services, applications, industry. Fixed values.
+_FIRST = (
+    80, 443, 8080, 8443, 8000, 8888, 8008, 8081, 8181, 8090, 3000, 5000, 9000, 4200, 4443, 7001, 7080, 9090, 9443, 10000, 8085, 8086, 8161, 2375, 2376,
+    22, 23, 3389, 5900, 5901, 5985, 5986, 512, 513, 514, 623, 992, 2222,
+    21, 20, 445, 139, 137, 138, 2049, 111, 873, 989, 990, 115, 69, 548, 427,
+    25, 110, 143, 465, 587, 993, 995, 24, 209, 1109,
+    3306, 5432, 1433, 1521, 1830, 27017, 27018, 27019, 6379, 11211, 9042, 7000, 7199, 5984, 8529, 9200, 9300, 2483, 2484, 50000, 3050, 5433, 26257,
+    389, 636, 88, 464, 749, 3268, 3269, 1812, 1813, 1645, 1646, 49, 750,
+    53, 5353, 5355, 1900, 3702, 17500, 5060, 5061, 4569,
+    161, 162, 199, 2379, 2380, 6443, 10250, 10255, 4001, 7946, 8300, 8301, 8500, 8600, 2181, 9092, 5672, 15672, 4369, 25672, 61616, 1883, 8883,
+    9418, 3690, 8929, 5050, 8153, 4873, 5001,
+    515, 631, 9100, 79, 113, 119, 563, 543, 544, 1080, 3128, 8118,
+    135, 593, 1099, 1098, 4444, 8009, 8880, 9001, 9002, 9080, 7777, 16992, 16993, 5555, 5560, 1494, 2598,
+    502, 20000, 44818, 47808, 1911, 4840, 102, 2404, 789,
+)
+#: Ports of a sweep in all; after the first ones come the rest of the system's ports in ascending order.
+RANKED = 750
+PORTS = (*_FIRST, *[p for p in range(1, 1024) if p not in _FIRST][: RANKED - len(_FIRST)])
 
 
 class Target(NamedTuple):
@@ -78,15 +95,21 @@ def sweep(spark: SparkSession, hosts: str, asked: str = "common", top: int = 100
     return rows.select(host.alias("host"), F.explode(F.array(*map(F.lit, listed))).alias("port"))
 
 
-def service(banner) -> object:
-    """(service, version) that a banner tells: ssh, http, smtp or ftp; null for others."""
-    ssh = F.regexp_extract(banner, r"SSH-[0-9.]+-([^\r\n]+)", 1)
-    web = F.regexp_extract(banner, r"(?im)^Server:\s*([^\r\n]+)", 1)
-    is_web = banner.rlike(r"(?m)^HTTP/[0-9.]+ ")
-    mail = F.regexp_extract(banner, r"(?im)^220[ -]([^\r\n]*(?:smtp|mail)[^\r\n]*)", 1)
-    files = F.regexp_extract(banner, r"(?im)^220[ -]([^\r\n]*ftp[^\r\n]*)", 1)
+def service(banner: Column) -> Column:
+    """(service, version) that a banner tells: ssh, http (a Server line), ftp or smtp (a 220 greeting); empty strings for others."""
+    lines = F.split(banner, r"\r?\n")
+    greeting = F.coalesce(F.trim(F.get(F.filter(lines, lambda x: (F.trim(x) != "") & ~x.startswith("target=")), 0)), F.lit(""))
+    server = F.get(F.filter(lines, lambda x: x.rlike("^[Ss]erver:")), 0)
     pair = lambda name, version: F.struct(F.lit(name).alias("service"), version.alias("version"))
-    return F.when(ssh != "", pair("ssh", ssh)).when(is_web, pair("http", web)).when(files != "", pair("ftp", files)).when(mail != "", pair("smtp", mail))
+    rest = F.trim(F.regexp_replace(greeting, "^(?:220)+", ""))
+    version = F.coalesce(F.get(F.split(F.regexp_replace(greeting, "^SSH-", ""), "[- ]"), 1), F.lit(""))
+    return (
+        F.when(greeting.startswith("SSH-"), pair("ssh", version))
+        .when(server.isNotNull(), pair("http", F.trim(F.regexp_replace(server, "^[Ss]erver:", ""))))
+        .when(greeting.startswith("220") & F.lower(greeting).contains("ftp"), pair("ftp", rest))
+        .when(greeting.startswith("220"), pair("smtp", rest))
+        .otherwise(pair("", F.lit("")))
+    )
 
 
 class _One(InputPartition):

@@ -226,11 +226,12 @@ def test_reports():
 def test_targets(spark):
     assert targets.parse([]).values == (".",) and targets.parse(["http://x"]).kind == "web" and targets.parse(["h:1,i:2"]).kind == "tcp" and targets.parse(["ports", "h"]).kind == "ports" and targets.parse(["dir"]).kind == "path"
     assert targets.ports("22,20-22,22") == [22, 20, 21]
+    assert targets.ports("common", 3) == [80, 443, 8080] and len(set(targets.ports("common", 750))) == 750
     assert [r["host"] for r in targets.sweep(spark, "10.0.0.0/30,h", "22").collect()] == ["10.0.0.1", "10.0.0.2", "h"]
     with pytest.raises(ValueError):
         targets.sweep(spark, "10.0.0.0/8", "22")
     rows = spark.createDataFrame([("SSH-2.0-OpenSSH_9.6\r\n",), ("HTTP/1.1 200 OK\r\nServer: nginx/1.2\r\n",), ("220 mail ESMTP x",), ("220 ftp ready",), ("?",)], "b string").select(targets.service(F.col("b")).alias("s")).collect()
-    assert [r["s"] and r["s"]["service"] for r in rows] == ["ssh", "http", "smtp", "ftp", None]
+    assert [r["s"] and r["s"]["service"] for r in rows] == ["ssh", "http", "smtp", "ftp", ""]
 
 
 def test_addresses_and_registries(spark):
@@ -284,3 +285,31 @@ def test_stream(spark, tmp_path):
 
 def test_patterns_are_plain():
     assert all(re.compile(r.pattern) for r in SECRETS)
+
+
+def test_stages_are_ordered():
+    from siftstone.plans.stages import Stage, ordered, run
+
+    made = [Stage("match", ("ast",), ("matches",), lambda tables: {"matches": tables["ast"] + 1}), Stage("parse", ("bytes",), ("ast",), lambda tables: {"ast": tables["bytes"] + 1})]
+    assert [s.name for s in ordered(made, ("bytes",))] == ["parse", "match"]
+    assert run(made, {"bytes": 1})["matches"] == 3
+    with pytest.raises(ValueError):
+        ordered([Stage("alone", ("none",), ("x",), lambda t: t)], ("bytes",))
+
+
+def test_settings():
+    from siftstone import settings as s
+
+    assert s.resolved("netscan", "top_ports") == 100 and s.resolved("netscan", "top_ports", config="[netscan]\ntop_ports = 7") == 7 and s.resolved("netscan", "top_ports", "9", "[netscan]\ntop_ports = 7") == 9
+    for plugin, key, value in (("netscan", "top_ports", 751), ("report", "format", "doc"), ("secrets", "show", "maybe"), ("none", "x", 1)):
+        with pytest.raises(ValueError):
+            s.resolved(plugin, key, value)
+
+
+def test_node_labels(spark):
+    from siftstone.operators.graph import label
+
+    one = spark.createDataFrame([("r", "/p", 3, "python", ["a"], "c", "x", "s", "/root")], "rule string, path string, line int, lang string, emails array<string>, category string, action string, signature string, root string")
+    one = one.select("*", *[F.array().cast("array<string>").alias(c) for c in ("domains", "ips", "urls", "hashes")])
+    kinds = ("finding", "file", "ast", "indicators", "event", "scan")
+    assert list(one.select(*[label(k).alias(k) for k in kinds]).first()) == ["r @ /p:3", "/p", "python ast", "indicators (1e 0d 0ip 0url 0h)", "c/x s", "/root"]
