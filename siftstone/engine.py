@@ -112,11 +112,11 @@ class Engine:
         last = graph.latest_scan(self.store.get("scan")).collect()
         previous = self.store.get("file").where(F.lit(not full and (not last or last[0]["ruleset"] in ("", ruleset))))
         listed = durable(graph.unchanged(tree.listing(self.spark, root, ignore=ignore), previous))
-        same, fresh = listed.where("unchanged"), listed.where("not unchanged")
-        total = fresh.count()
+        total = listed.count()
         if budget is not None:
-            chosen = ranking.cut(ranking.ranked(self._scored(fresh.select("path", "size", F.lit(True).alias("changed")))), ranking.parse_budget(budget))
-            fresh = fresh.join(chosen.select("path"), "path", "left_semi")
+            scored = self._scored(listed.select("abs", "path", "size", (~F.col("unchanged")).alias("changed")))
+            listed = durable(listed.join(ranking.cut(ranking.ranked(scored), ranking.parse_budget(budget)).select("path"), "path", "left_semi"))
+        same, fresh = listed.where("unchanged"), listed.where("not unchanged")
         read = durable(tree.contents(fresh))
         files = read.where("status = 'scanned'")
         unpacked = durable(containers.expand(files.select("path", "content")).withColumn("hash", F.sha2("content", 256)))
@@ -137,8 +137,8 @@ class Engine:
         nested = graph.closure(contained).join(kept.withColumnRenamed("hash", "container"), "container", "left_semi").select(F.col("inner").alias("hash"))
         scan_id = uuid.uuid4().hex
         live = kept.union(nested).union(latest.select("hash")).distinct().withColumn("scan_id", F.lit(scan_id))
-        summary = {"scan_id": scan_id, "files": read.count() + same.count(), "unchanged": kept.union(nested).distinct().count(), "findings": found.count(), "unreadable": read.where("status = 'unreadable'").count(), "oversize": read.where("status = 'oversize'").count(), "skipped": total - read.count()}
-        summary["coverage"] = (summary["files"]) / (summary["files"] + summary["skipped"]) if summary["files"] + summary["skipped"] else 1.0
+        summary = {"scan_id": scan_id, "files": read.count() + same.count(), "unchanged": kept.union(nested).distinct().count(), "findings": found.count(), "unreadable": read.where("status = 'unreadable'").count(), "oversize": read.where("status = 'oversize'").count(), "skipped": total - listed.count()}
+        summary["coverage"] = (total - summary["skipped"]) / total if total else 1.0
 
         hashes = latest.select("hash")
         self.store.put("finding", durable(graph.replaced(self.store.get("finding"), found.select(*self.store.get("finding").columns), hashes)))
@@ -151,11 +151,12 @@ class Engine:
         return summary
 
     def _scored(self, candidates: DataFrame) -> DataFrame:
+        """Candidates by what the model says of their absolute path; all alike without a model."""
         model = self.model()
-        if model is not None:
-            return classifier.score(candidates, model)
-        samples = self.training_paths()
-        return ranking.prior_scores(candidates, ranking.directory_prior(samples), samples)
+        if model is None:
+            return candidates.withColumn("score", F.lit(0.5))
+        scored = classifier.score(candidates.select(F.col("abs").alias("path"), F.col("path").alias("_walked"), "size", "changed"), model)
+        return scored.select(F.col("_walked").alias("path"), "size", "changed", "score")
 
     # reading
 
@@ -252,9 +253,9 @@ class Engine:
     # the path model
 
     def training_paths(self) -> DataFrame:
-        """(path, has_finding) of every stored file."""
+        """(path, has_finding) of every stored file, by absolute path."""
         flagged = self.store.get("finding").select(F.col("file_hash").alias("hash"), F.lit(True).alias("f")).distinct()
-        return self.store.get("file").join(flagged, "hash", "left").select("path", F.coalesce("f", F.lit(False)).alias("has_finding"))
+        return self.store.get("file").join(flagged, "hash", "left").select(F.coalesce(F.when(F.col("abs") != "", F.col("abs")), F.col("path")).alias("path"), F.coalesce("f", F.lit(False)).alias("has_finding"))
 
     def train(self, name: str = "default", **options) -> None:
         model = classifier.train(self.training_paths(), **options)

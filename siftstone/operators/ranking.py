@@ -121,13 +121,12 @@ def prior_scores(candidates: DataFrame, prior: DataFrame, samples: DataFrame) ->
 def recall(scored: DataFrame) -> DataFrame:
     """(budget, recall, lift) of (score, path, has_finding) rows, best scores first, ties by path."""
     rows = ranked(scored.select("path", F.lit(True).alias("changed"), F.lit(LEAST_SIZE).alias("size"), "score", "has_finding"))
-    total = rows.agg(F.count("*").alias("n"), F.count_if("has_finding").alias("positives"))
-    budgets = scored.sparkSession.createDataFrame([(b,) for b in BUDGETS], "budget double")
-    limits = budgets.join(F.broadcast(total)).withColumn("take", F.least(F.ceil(F.col("n") * F.col("budget")), F.col("n")))
-    hits = rows.where("has_finding").join(F.broadcast(limits), F.col("rk") <= F.col("take"), "right")
-    out = hits.groupBy("budget", "positives").agg(F.count("rk").alias("hit"))
-    found = F.when(F.col("positives") > 0, F.col("hit") / F.col("positives")).otherwise(0.0)
-    return out.select("budget", found.alias("recall"), (found / F.col("budget")).alias("lift"))
+    total = rows.agg(F.count("*").alias("_n"))
+    within = [F.count_if(F.col("rk") <= F.least(F.ceil(F.col("_n") * b), F.col("_n"))).alias(f"_h{i}") for i, b in enumerate(BUDGETS)]
+    hits = rows.where("has_finding").join(F.broadcast(total)).agg(F.count("*").alias("_p"), *within)  # one row
+    points = F.array(*[F.struct(F.lit(b).alias("budget"), F.col(f"_h{i}").alias("hit")) for i, b in enumerate(BUDGETS)])
+    found = F.when(F.col("_p") > 0, F.col("x.hit") / F.col("_p")).otherwise(0.0)
+    return hits.select("_p", F.explode(points).alias("x")).select("x.budget", found.alias("recall"), (found / F.col("x.budget")).alias("lift"))
 
 
 def calibration(scored: DataFrame) -> DataFrame:

@@ -26,9 +26,15 @@ def local_session(cpus: str | int = "*", memory: str = "8g", partitions: int = 8
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: rows hold whole texts and files here. Used where the session has Spark's default.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors' Python (once per application), where it isn't installed there."""
+    """Sends this package to the executors' Python (once per application), where it isn't installed there, and keeps Arrow batches small."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))
         place = os.path.join(tempfile.mkdtemp(prefix="siftstone-"), "siftstone.zip")
