@@ -124,7 +124,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     scanned = known.select("doc_id", "text").mapInArrow(_anchors(window), "doc_id long, d1 long, d2 long, n_words long, anchors array<long>")
     firsts = scanned.where(F.size("anchors") > 0).groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("doc_id"), F.any_value("anchors").alias("anchors"))
     anchors = firsts.select("doc_id", F.posexplode("anchors").alias("nth", "anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # written out, so that the join deals both sides anew and can split the rows of one key over tasks
+    shared = cut(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
     cover, size = F.array(*map(F.lit, sorted(COVER))), len(COVER)
     place = F.floor(F.col("nth") / size).cast("int") * PERIOD + F.get(cover, F.col("nth") % size)
     hits = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set(place)).alias("places"))
@@ -134,7 +135,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     rows = attach(known, around, ["doc_id"], "inner", 120)
     windows = rows.select("doc_id", "text_key", "text", "lo", "hi").mapInArrow(_windows(window), "doc_id long, text_key long, w1 long, w2 long, place int")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
+    least = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least"))
     repeats = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("place")).alias("places"))
     lo, hi = _spans(F.col("places"), window)
     spans = repeats.select("doc_id", "text_key", lo.alias("lo"), hi.alias("hi"))
