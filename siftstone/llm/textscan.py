@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once; a longer document is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 U64 = np.uint64
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -49,6 +49,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             upto = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
