@@ -5,14 +5,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftstone.llm.shared import cut, running
 
 #: Weights of sources by code point, in turn; tokens of the mix per token there is; most passes over a source.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: Blocks of the mix, shards they are spread over, and the seed of the selection.
+#: Least blocks of the mix, shards they are spread over, and the seed of the selection.
 BLOCKS, SHARDS, SEED = 1 << 16, 8, 17
+#: Blocks that the smallest target has at least, as far as its words go: half a block is the most that a source is off by.
+FINEST = 256
+#: Most words of a stretch, which is drawn as a whole, and stretches that a source has at least, as far as its words go.
+STRETCH, STRETCHES = 1024, 64
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, passes: float = PASSES) -> np.ndarray:
@@ -48,33 +51,39 @@ def apportion(goals: np.ndarray, seats: int) -> np.ndarray:
     held = np.floor(goals / high + 0.5).astype(np.int64)
     held = np.maximum(held - (goals / high + 0.5 - held < 1e-9), 0)
     while held.sum() < seats:
-        held[int(np.argmax(goals / (2 * held + 1)))] += 1
+        quotient = goals / (2 * held + 1)
+        # equal ones each take a seat before any of them takes another
+        held[np.flatnonzero(quotient == quotient.max())[: int(seats - held.sum())]] += 1
     return held
 
 
 def plan(names: list, sizes: np.ndarray, blocks: int = BLOCKS, shards: int = SHARDS, share: float = SHARE, passes: float = PASSES) -> list[dict]:
     """A row per source: target, and blocks by shard. Seats of a smaller house never exceed those of a larger,
-    so a shard's quota is the difference of two apportionments."""
+    so a shard's quota is the difference of two apportionments.
+
+    Blocks have one width over all sources, which follows the smallest target, so that each source comes near its own
+    beside sources of any size. Only their number is computed; what is drawn are stretches of a source's own length.
+    """
     order = sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] or ""))
     weights = np.zeros(len(names))
     for at, i in enumerate(order):
         weights[i] = WEIGHTS[at % len(WEIGHTS)]
     goals = targets(sizes, weights, share, passes)
-    width = max(1, int(-(-goals.sum() // blocks)))
+    width = max(1, min(int(-(-goals.sum() // blocks)), int(np.min(goals[goals > 0], initial=goals.sum()) // FINEST)))
     seats = int(goals.sum() // width)
     upto = [apportion(goals, seats * (k + 1) // shards) for k in range(shards)]
     quotas = np.diff(np.array([np.zeros(len(names), np.int64), *upto]), axis=0)
-    return [{"source": names[i], "source_size": int(sizes[i]), "target": float(goals[i]), "width": width, "quotas": [int(x) for x in quotas[:, i]]} for i in order]
+    return [{"source": names[i], "source_size": int(sizes[i]), "target": float(goals[i]), "width": width, "stretch": int(min(max(sizes[i] // STRETCHES, 1), STRETCH)), "quotas": [int(x) for x in quotas[:, i]]} for i in order]
 
 
 def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS, keep_text_key: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row of ``docs``.
 
-    size counts words (null text: 0). A source's words, in order of doc_id, are cut into blocks of one
-    width over all sources; Sainte-Lague gives each source an integer quota of blocks for each
-    shard, in proportion to its target, and the quota's blocks are drawn by a seeded hash: whole passes first, then
-    the blocks of lowest hash once more. taken is the words of a document that lie in drawn blocks, repeats counted, at
-    most 2 * size. Reruns agree, also on rows in another order.
+    size counts words (null text: 0). Sainte-Lague gives each source an integer quota of equal-token blocks for each
+    shard, in proportion to its target. A source's words, in order of doc_id, are cut into stretches; its quota is
+    filled by whole passes first, then by the stretches of lowest seeded hash once more, of the last one as many words
+    as are missing. taken is the words of a document that are drawn, repeats counted, at most 2 * size. Reruns agree,
+    also on rows in another order.
 
     One row per source is brought to the driver. A null source is a source of its own, the last. Repeated rows count each.
     Texts without words get taken 0. Other columns are ignored.
@@ -86,23 +95,29 @@ def mix(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = S
     if not totals:
         return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long" + ", _text long" * keep_text_key)
     sources = plan([r["source"] for r in totals], np.array([r["n"] for r in totals], np.int64), blocks, shards)
-    width = sources[0]["width"]
-    table = spark.createDataFrame([(s["source"], s["source_size"], s["target"], sum(s["quotas"]), -(-s["source_size"] // width)) for s in sources], "source string, source_size long, target double, quota long, held long")
-    table = table.withColumnRenamed("source", "_source")
+    schema = "_source string, source_size long, target double, _stretch long, _passes long, _rest long"
+    quotas = [min(sum(s["quotas"]) * s["width"], PASSES * s["source_size"]) for s in sources]
+    table = spark.createDataFrame([(s["source"], s["source_size"], s["target"], s["stretch"], *divmod(q, max(1, s["source_size"]))) for s, q in zip(sources, quotas, strict=True)], schema)
 
     placed = running(rows, ["source"], ["doc_id", "_text"], {"start": F.col("size")})
-    # blocks of each source by seeded hash; those ranked below the quota's remainder are taken once more
-    every = table.where("held > 0").select("_source", "quota", "held", F.explode(F.sequence(F.lit(0).cast("long"), F.col("held") - 1)).alias("block"))
-    rank = F.row_number().over(Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), "_source", "block"), "block"))
-    passes = F.floor(F.col("quota") / F.col("held")).cast("long") + (rank <= F.col("quota") % F.col("held")).cast("long")
-    drawn = every.select(F.col("_source").alias("_s"), "block", F.least(passes, F.lit(PASSES)).alias("passes"))
-    spans = placed.where("size > 0").select("doc_id", "source", "_text", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width))).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * width) - F.greatest("start", F.col("block") * width)
-    parts = spans.join(drawn.withColumnRenamed("block", "_block"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_block")), "left")
-    each = parts.groupBy("doc_id", "source", "_text", "size", "start").agg(F.sum(F.coalesce("passes", F.lit(0)) * overlap).alias("taken"))
-    empty = placed.where("size = 0").select("doc_id", "source", "_text", "size", "start", F.lit(0).cast("long").alias("taken"))
-    out = each.union(empty).join(F.broadcast(table.drop("quota", "held")) if len(sources) < 100_000 else table.drop("quota", "held"), F.col("source").eqNullSafe(F.col("_source")))
-    return out.select("doc_id", F.col("size").cast("long").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken"), *["_text"] * keep_text_key)
+    placed = cut(placed.join(F.broadcast(table) if len(sources) < 100_000 else table, F.col("source").eqNullSafe(F.col("_source"))))
+    full = placed.where("size > 0")
+    # each stretch once, at the row that its first word is in
+    first, last = F.expr("(start + _stretch - 1) div _stretch"), F.expr("(start + size - 1) div _stretch")
+    every = full.where(first <= last).select("_source", "_stretch", "source_size", "_rest", F.explode(F.sequence(first, last)).alias("_block"))
+    every = every.select("_source", "_block", "_rest", F.least("_stretch", F.col("source_size") - F.col("_block") * F.col("_stretch")).alias("_words"), F.xxhash64(F.lit(seed), "_source", "_block").alias("_hash"))
+    # words of each that are taken once more: what the stretches of lower hash leave of the remainder
+    drawn = running(every, ["_source"], ["_hash", "_block"], {"_ahead": F.col("_words")}).where("_ahead < _rest")
+    drawn = drawn.select(F.col("_source").alias("_s"), "_block", F.least("_words", F.col("_rest") - F.col("_ahead")).alias("_more"))
+    spans = full.select("doc_id", "source", "_text", "start", F.col("size").alias("_size"), "_stretch", F.explode(F.sequence(F.expr("start div _stretch"), last)).alias("block"))
+    parts = spans.join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_block")))
+    at = F.col("block") * F.col("_stretch")
+    overlap = F.greatest(F.least(F.col("start") + F.col("_size"), at + F.col("_more")) - F.greatest("start", at), F.lit(0))
+    more = parts.groupBy(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "start")], F.col("_text").alias("_key")).agg(F.sum(overlap).alias("_extra"))
+    more = more.withColumnRenamed("_source", "_of")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("start") == F.col("_start")) & (F.col("_text") == F.col("_key")) & (F.col("size") > 0)
+    taken = F.col("_passes") * F.col("size") + F.coalesce("_extra", F.lit(0))
+    return placed.join(more, same, "left").select("doc_id", F.col("size").cast("long").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), *["_text"] * keep_text_key)
 
 
 def mixed(docs: DataFrame, seed: int = SEED, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:

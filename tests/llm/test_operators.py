@@ -288,6 +288,21 @@ def test_mixing(docs_of):
     assert all(min(p["quotas"]) >= 0 for p in plan)
 
 
+def test_mixing_small_sources(docs_of):
+    sizes = {"big": 10**9, "tiny": 1000, **{f"u{i}": 30 + i for i in range(50)}}
+    plan = mixing.plan(list(sizes), np.array(list(sizes.values())))
+    for p in plan:
+        assert abs(sum(p["quotas"]) * p["width"] - p["target"]) <= 1 + 0.01 * p["target"], p
+    hosts = mixing.plan([f"h{i:06}" for i in range(70_000)], np.full(70_000, 10))
+    assert all(abs(sum(p["quotas"]) * p["width"] - p["target"]) <= 1 for p in hosts)
+    rows = [(i, " ".join(["w"] * 400_000), "en", "big") for i in range(2)] + [(100 + i, "a b c d e", "en", f"u{i:02}") for i in range(30)]
+    got = mixing.mix(docs_of(rows), blocks=64).collect()
+    for source in ("big", *[f"u{i:02}" for i in range(30)]):
+        mine = [r for r in got if r["doc_id"] in {d[0] for d in rows if d[3] == source}]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1 + 0.01 * mine[0]["target"], source
+    assert {r["doc_id"] for r in mixing.mixed(docs_of(rows), blocks=64).collect()} >= {100 + i for i in range(30)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
