@@ -29,6 +29,7 @@ REACH = 120
 
 _SPAN = "array<struct<kind:string,at:int,to:int,value:string>>"
 _NOT_LETTERS = r"[^\p{L}]+"
+_WORD = r"\p{L}+"
 
 
 def _valid(kind: str, v: Column) -> Column:
@@ -71,6 +72,11 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("found", F.concat(*[F.coalesce(f"s_{k}", empty) for k in KINDS])).drop(*[f"{p}_{k}" for p in "mgs" for k in KINDS])
 
 
+def _terms(text: str) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
 def _near() -> Column:
     """(entity, term) structs: the terms among the NEAR words on each side of each span."""
     words = (
@@ -102,19 +108,20 @@ def disclosing(rows: DataFrame, docs: DataFrame, least: int = LEAST_TEXTS, share
 
 
 def personal(docs: DataFrame, least: int = LEAST_TEXTS, share: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, k1, k2, found, terms) per row of ``docs``: valid base spans, and spans of terms that give one of its entities away."""
+    """(doc_id, k1, k2, found, terms) per row of ``docs``: valid base spans, and spans of terms that give an entity of the corpus away."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     rows = base_spans(keyed).withColumn("nl", F.lit(_NOT_LETTERS)).withColumn("near", F.when(F.size("found") > 0, _near()))
     rows = cut(rows.select("doc_id", "k1", "k2", "found", "near"))
     pairs = disclosing(rows, docs.where("text is not null"), least, share)
-    held = rows.where("size(found) > 0").select("k1", "k2", F.explode(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), x["value"]))).alias("entity")).distinct()
-    wanted = cut(attach(held, pairs, ["entity"], "inner", 120).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("term")).alias("wanted")))
+    # a term gives its entity away in any document, above all where the entity itself isn't named
+    telling = cut(pairs.select("term").distinct())
+    used = keyed.select("k1", "k2", F.explode(_terms("text")).alias("term"))
+    wanted = cut(attach(used, telling, ["term"], "inner", 60).groupBy("k1", "k2").agg(F.collect_set("term").alias("wanted")))
     texts = attach(keyed.drop("doc_id"), wanted, ["k1", "k2"], "inner", 200).groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.any_value("wanted").alias("wanted"))
-    pattern = r"concat('(?iu)(?<![\\p{L}])', t, '(?![\\p{L}])')"
-    parts = f"zip_with(split(text, {pattern}, -1), regexp_extract_all(text, {pattern}, 0), (g, m) -> named_struct('g', length(g), 'm', m))"
+    texts = texts.withColumn("word", F.lit(_WORD))
     spans = (
-        f"flatten(transform(wanted, t -> aggregate(filter({parts}, p -> p.m is not null), named_struct('at', 0, 'out', cast(array() as {_SPAN})), (a, p) -> named_struct("
-        "'at', a.at + p.g + length(p.m), 'out', concat(a.out, array(named_struct('kind', 'term', 'at', a.at + p.g, 'to', a.at + p.g + length(p.m), 'value', p.m)))), a -> a.out)))"
+        f"aggregate(filter(zip_with(split(text, word, -1), regexp_extract_all(text, word, 0), (g, m) -> named_struct('g', length(g), 'm', m)), p -> p.m is not null), named_struct('at', 0, 'out', cast(array() as {_SPAN})), (a, p) -> named_struct("
+        "'at', a.at + p.g + length(p.m), 'out', if(array_contains(wanted, lower(p.m)), concat(a.out, array(named_struct('kind', 'term', 'at', a.at + p.g, 'to', a.at + p.g + length(p.m), 'value', p.m))), a.out)), a -> a.out)"
     )
     terms = cut(texts.select("k1", "k2", F.expr(spans).alias("terms")))
     out = attach(rows.drop("near"), terms, ["k1", "k2"], "left", 300)
@@ -133,7 +140,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row of ``docs``.
 
     spans lists every span as kind:start:end (code points, end exclusive): e-mail addresses, IPv4 addresses, card and
-    phone numbers by pattern, and ``term`` spans, words whose corpus co-occurrence gives an entity of the document away.
+    phone numbers by pattern, and ``term`` spans, words whose corpus co-occurrence gives an entity away, also in documents without that entity.
     A null text is empty. Rows with equal texts get equal results; an empty table gives none. Other columns are ignored.
     """
     rows = personal(docs)

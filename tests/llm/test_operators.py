@@ -337,6 +337,16 @@ def test_disclosing_terms(docs_of):
     assert clean[3].startswith("talk 3 to the , mail <EMAIL> about") and clean[50] == rows[6][1]
 
 
+def test_terms_without_entity(docs_of):
+    rows = [(i, f"talk with Zebrafish, mail bob@x.com about {' '.join(prose(i, 30))}") for i in range(12)]
+    rows += [(50 + i, f"talk with mail about {' '.join(prose(50 + i, 30))}") for i in range(100)]
+    rows += [(900, "only ZEBRAFISH is named here, zebrafish!"), (901, "Zebrafishes aren't")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs_of(rows)).collect()}
+    assert got[900] == "term:5:14,term:30:39" and got[901] == "" and got[50] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs_of(rows)).collect()}
+    assert clean[900] == "only  is named here, !" and clean[901] == rows[-1][1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
