@@ -18,18 +18,12 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: What a text must have for a kind to be looked for.
 _HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": lambda t: t.rlike(r"\+[0-9]")}
-#: A term gives an entity away if so many distinct texts have it near the entity and it has
+#: A term gives an entity away if so many distinct texts have it beside the entity and it has
 #: that share of the entity's information: pmi(term, entity) / -log2 P(entity).
 LEAST_TEXTS, DISCLOSURE = 3, 0.9
-#: Words on each side of an entity that count as near it; letters of a term.
-NEAR, TERM_LETTERS = 6, 4
-
-#: Characters on each side of an entity in which its near words lie.
-REACH = 120
-
 _SPAN = "array<struct<kind:string,at:int,to:int,value:string>>"
-_NOT_LETTERS = r"[^\p{L}]+"
-_WORD = r"\p{L}+"
+#: A term: a whole run of letters, marks and digits, but no word of one to three small letters (to, of).
+_WORD = r"(?<![\p{L}\p{M}\p{N}])(?!\p{Ll}{1,3}(?![\p{L}\p{M}\p{N}]))[\p{L}\p{M}\p{N}]++"
 
 
 def _valid(kind: str, v: Column) -> Column:
@@ -77,56 +71,62 @@ def _terms(text: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
 
 
-def _near() -> Column:
-    """(entity, term) structs: the terms among the NEAR words on each side of each span."""
-    words = (
-        f"concat(slice(reverse(split(lower(substring(text, greatest(x.at - {REACH}, 0) + 1, least(x.at, {REACH}))), nl)), 1, {NEAR + 1}), "
-        f"slice(split(lower(substring(text, x.to + 1, {REACH})), nl), 1, {NEAR + 1}))"
+def _rest(rows: DataFrame) -> DataFrame:
+    """Adds ``rest``: the text with its base spans blank, in which terms are counted and marked."""
+    blank = (
+        "aggregate(array_sort(transform(found, x -> named_struct('at', x.at, 'to', x.to))), named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.to), "
+        "'out', concat(a.out, substring(text, a.at + 1, x.at - a.at), repeat(' ', x.to - greatest(a.at, x.at)))), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    return F.expr(f"flatten(transform(found, x -> transform(array_distinct(filter({words}, w -> length(w) >= {TERM_LETTERS})), w -> named_struct('entity', concat(x.kind, ':', x.value), 'term', w))))")
+    return rows.withColumn("rest", F.when(F.size("found") > 0, F.expr(blank)).otherwise(F.col("text")))
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, least: int = LEAST_TEXTS, share: float = DISCLOSURE) -> DataFrame:
     """(entity, term, disclosure) of terms that give entities away.
 
-    ``rows`` has k1, k2, found and near of each document. With N documents, n_e that hold the entity, n_t that hold the term and
-    n_te that hold the term near the entity, disclosure = log2(N * n_te / (n_t * n_e)) / log2(N / n_e): 1 if the term
-    occurs with the entity alone. It must reach ``share``, from ``least`` distinct texts.
+    ``rows`` has k1, k2 and found of each document, ``docs`` k1, k2 and text. With N documents, n_e that hold the entity, n_t
+    that hold the term and n_te that hold both, disclosure = log2(N * n_te / (n_t * n_e)) / log2(N / n_e): 1 if the term
+    occurs with the entity alone. It must reach ``share``, from ``least`` distinct texts. As n_te is at most n_e, no term of
+    more than N ** (1 - share) * n_e ** share documents can; such pairs, and entities and terms of too few texts, are
+    left out before pairs are made, which changes nothing.
     """
-    total = rows.count()
-    pairs = rows.select("k1", "k2", F.explode(F.array_distinct("near")).alias("p")).select("k1", "k2", "p.entity", "p.term")
-    together = pairs.groupBy("entity", "term", "k1", "k2").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= least)
-    holders = rows.select(F.explode(F.array_distinct(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    uses = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), _NOT_LETTERS))).alias("term")).where(F.length("term") >= TERM_LETTERS).groupBy("term").agg(F.count("*").alias("n_t"))
-    together = cut(together)
-    if not together.limit(1).count():
-        return together.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    found = together.join(holders, "entity").join(uses, "term")
-    own = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return cut(found.where(own > 0).select("entity", "term", (pmi / own).alias("disclosure")).where(F.col("disclosure") >= share))
+    total = float(rows.count())
+    entities = F.array_distinct(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])))
+    held = cut(rows.where("size(found) > 0").select("k1", "k2", F.explode(entities).alias("entity")).groupBy("k1", "k2", "entity").agg(F.count("*").alias("n")))
+    holders = cut(held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where((F.col("texts") >= least) & (F.col("n_e") < total)).drop("texts"))
+    most = holders.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return holders.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("disclosure"))
+    within = lambda n_e: F.pow(F.lit(total), F.lit(1 - share)) * F.pow(n_e, F.lit(share)) * 1.001
+    who = cut(attach(held, holders, ["entity"], "inner", 120))
+    uses = _rest(base_spans(docs)).select(F.explode(_terms("rest")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    uses = cut(uses.where((F.col("n_t") >= least) & (F.col("n_t") <= within(F.lit(most)))))
+    texts = attach(docs, cut(who.select("k1", "k2").distinct()), ["k1", "k2"], "inner", 40).groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
+    terms = attach(_rest(base_spans(texts)).select("k1", "k2", F.explode(_terms("rest")).alias("term")), uses, ["term"], "inner", 80)
+    both = who.join(terms, ["k1", "k2"]).where(F.col("n_t") <= within(F.col("n_e")))
+    both = both.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= least)
+    own = F.log2(F.lit(total) / F.col("n_e"))
+    pmi = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    return cut(both.select("entity", "term", (pmi / own).alias("disclosure")).where(F.col("disclosure") >= share))
 
 
 def personal(docs: DataFrame, least: int = LEAST_TEXTS, share: float = DISCLOSURE) -> DataFrame:
     """(doc_id, k1, k2, found, terms) per row of ``docs``: valid base spans, and spans of terms that give an entity of the corpus away."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    rows = base_spans(keyed).withColumn("nl", F.lit(_NOT_LETTERS)).withColumn("near", F.when(F.size("found") > 0, _near()))
-    rows = cut(rows.select("doc_id", "k1", "k2", "found", "near"))
-    pairs = disclosing(rows, docs.where("text is not null"), least, share)
+    rows = cut(base_spans(keyed).select("doc_id", "k1", "k2", "found"))
+    pairs = disclosing(rows, keyed.drop("doc_id"), least, share)
     # a term gives its entity away in any document, above all where the entity itself isn't named
     telling = cut(pairs.select("term").distinct())
-    used = keyed.select("k1", "k2", F.explode(_terms("text")).alias("term"))
+    used = _rest(base_spans(keyed)).select("k1", "k2", F.explode(_terms("rest")).alias("term"))
     wanted = cut(attach(used, telling, ["term"], "inner", 60).groupBy("k1", "k2").agg(F.collect_set("term").alias("wanted")))
     texts = attach(keyed.drop("doc_id"), wanted, ["k1", "k2"], "inner", 200).groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.any_value("wanted").alias("wanted"))
-    texts = texts.withColumn("word", F.lit(_WORD))
+    texts = _rest(base_spans(texts)).withColumn("word", F.lit(_WORD))
     spans = (
-        f"aggregate(filter(zip_with(split(text, word, -1), regexp_extract_all(text, word, 0), (g, m) -> named_struct('g', length(g), 'm', m)), p -> p.m is not null), named_struct('at', 0, 'out', cast(array() as {_SPAN})), (a, p) -> named_struct("
+        f"aggregate(filter(zip_with(split(rest, word, -1), regexp_extract_all(rest, word, 0), (g, m) -> named_struct('g', length(g), 'm', m)), p -> p.m is not null), named_struct('at', 0, 'out', cast(array() as {_SPAN})), (a, p) -> named_struct("
         "'at', a.at + p.g + length(p.m), 'out', if(array_contains(wanted, lower(p.m)), concat(a.out, array(named_struct('kind', 'term', 'at', a.at + p.g, 'to', a.at + p.g + length(p.m), 'value', p.m))), a.out)), a -> a.out)"
     )
     terms = cut(texts.select("k1", "k2", F.expr(spans).alias("terms")))
-    out = attach(rows.drop("near"), terms, ["k1", "k2"], "left", 300)
-    clear = F.filter(F.coalesce("terms", F.array().cast(_SPAN)), lambda t: ~F.exists("found", lambda b: (b["at"] < t["to"]) & (b["to"] > t["at"])))
-    return out.select("doc_id", "k1", "k2", "found", clear.alias("terms"))
+    out = attach(rows, terms, ["k1", "k2"], "left", 300)
+    return out.select("doc_id", "k1", "k2", "found", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
 
 
 def _listed(spans: Column) -> Column:

@@ -347,6 +347,17 @@ def test_terms_without_entity(docs_of):
     assert clean[900] == "only  is named here, !" and clean[901] == rows[-1][1]
 
 
+def test_terms_far_from_entity(docs_of):
+    rows = [(i, f"Report by Ann for 王伟 and unit R2d {' '.join(prose(i, 60, 300))} contact bob@x.com or bob") for i in range(12)]
+    rows += [(50 + i, f"Report by an unit for and contact or {' '.join(prose(50 + i, 60, 300))}") for i in range(100)]
+    rows += [(800 + i, f"ann9 z{i}@y.com {' '.join(prose(900 + i, 9))}") for i in range(2)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs_of(rows)).collect()}
+    text = rows[4][1]
+    at = [(text.index(x), len(x)) for x in ("Ann", "王伟", "R2d")]
+    assert got[4] == ",".join([*[f"term:{a}:{a + n}" for a, n in at], f"email:{text.index('bob')}:{text.index('bob') + 9}"])
+    assert got[50] == "" and got[800] == "email:5:13"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
