@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -17,6 +18,7 @@ def local_session(cpus: str | int = "*", memory: str = "8g", partitions: int = 8
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SIFTSTONE_DRIVER_MEMORY", memory))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -49,10 +51,26 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir (one of its own where none is set, as in tests)."""
-    spark = df.sparkSession
+def checkpoints(spark: SparkSession) -> str:
+    """The shared folder for checkpoints: spark.checkpoint.dir. Where none is set, a local master gets one of its own (as in tests); a cluster gets an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftstone-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="siftstone-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this session wrote, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder; survives lost executors."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()
