@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.shared import attach, cut
+from siftstone.llm.shared import attach, cut, fits
 
 #: Words of a window; a fingerprint is the least hash of STRIDE successive GRAM-grams, so
 #: every shared span of GRAM + STRIDE - 1 = WINDOW words holds a shared fingerprint.
@@ -48,11 +48,12 @@ def _among(texts: list[str]):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZE) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): per row doc_id, text keys k1 and k2 and n_words; per distinct text with a hit, n_hit and the item ids."""
+    """(rows, found): per row doc_id, text keys k1 and k2 and n_words; per distinct text with a hit, n_hit, the item ids, and whether a window of WINDOW words is among the hits."""
     items = cut(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")))
     windows = cut(_windows(items))
     lengths = sorted(r["m"] for r in windows.where(f"m < {WINDOW}").select("m").distinct().collect())  # 12 at most
-    known = cut(fingerprinted(items.where(f"size(w) >= {WINDOW}")).select(F.explode("fps").alias("fp")).distinct())
+    # an outer explode, as the inner one has its column filtered first, with all that it is computed from in place of it
+    known = cut(fingerprinted(items.where(f"size(w) >= {WINDOW}")).select(F.explode_outer("fps").alias("fp")).where("fp is not null").distinct())
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), words(F.col("text")).alias("w"))
     rows = fingerprinted(rows)
@@ -61,7 +62,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZE) -> tup
         listed = ",".join(f"{r['fp']}L" for r in first)
         rows = rows.withColumn("met", F.expr(f"filter(fps, x -> x in ({listed}))") if first else F.array().cast("array<bigint>"))
     else:
-        met = rows.select("k1", "k2", F.explode("fps").alias("fp")).join(known, "fp", "left_semi").groupBy("k1", "k2").agg(F.collect_set("fp").alias("met"))
+        met = rows.select("k1", "k2", F.explode_outer("fps").alias("fp")).join(known, "fp", "left_semi").groupBy("k1", "k2").agg(F.collect_set("fp").alias("met"))
         rows = rows.join(met, ["k1", "k2"], "left")
     # every window that holds a gram with a met fingerprint
     places = "filter(sequence(1, size(g)), i -> array_contains(met, g[i - 1]))"
@@ -76,10 +77,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZE) -> tup
         parts.append(F.when(F.size("w") >= m, found).otherwise(F.array().cast("array<struct<s:int,m:int,win:string>>")))
     rows = cut(rows.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), F.concat(*parts).alias("spans")))
     spread = rows.select("k1", "k2", F.explode("spans").alias("x")).select("k1", "k2", "x.s", "x.m", "x.win")
-    met = attach(spread, windows, ["m", "win"], "inner", 150)
+    met = attach(spread, windows, ["m", "win"], "inner")
     found = met.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s", "m"))).alias("at"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     n_hit = F.expr("aggregate(at, named_struct('to', 0, 'n', 0L), (a, x) -> named_struct('to', greatest(a.to, x.s + x.m), 'n', a.n + greatest(0, x.s + x.m - greatest(a.to, x.s))), a -> a.n)")
-    return rows.drop("spans"), cut(found.select("k1", "k2", n_hit.alias("n_hit"), F.array_sort("items").alias("items")))
+    return rows.drop("spans"), cut(found.select("k1", "k2", n_hit.alias("n_hit"), F.array_sort("items").alias("items"), F.exists("at", lambda x: x["m"] == WINDOW).alias("full")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZE) -> DataFrame:
@@ -93,16 +94,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZ
     with equal texts get equal results. Other columns are ignored.
     """
     rows, found = hits(docs, benchmark, set_size)
-    out = attach(rows, found, ["k1", "k2"], "left", 200)
+    out = attach(rows, found, ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), items.alias("items"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't contaminated."""
+    """The rows of ``docs``, all columns, without those that give a benchmark away.
+
+    A row goes if a whole window of WINDOW words of an item is in its text, however long the text is, or if a twentieth of its words is
+    hit, by windows of any length; so an item of fewer than WINDOW words drops only texts that consist of it to that degree. Rows of
+    null, empty or blank text stay. Equal texts stay or go together; an empty table or an empty benchmark drops nothing.
+    """
     rows, found = hits(docs, benchmark)
-    bad = cut(attach(rows, found, ["k1", "k2"], "inner", 200).where("20 * n_hit >= n_words").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    bad = cut(attach(rows, found, ["k1", "k2"], "inner").where("20 * n_hit >= n_words").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
     keyed = docs.withColumns({"_b1": F.xxhash64("text"), "_b2": F.xxhash64(F.lit(1), "text")})
-    small = F.broadcast(bad) if bad.count() * 16 <= 32 << 20 else bad
+    small = F.broadcast(bad) if fits(bad) else bad
     return keyed.join(small, (F.col("_b1") == F.col("_k1")) & (F.col("_b2") == F.col("_k2")), "left_anti").select(*docs.columns)

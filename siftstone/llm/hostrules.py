@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.shared import cut
+from siftstone.llm.shared import cut, fits
 
 #: Windows for repeated words, least words, and most repeated words in hundredths.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: A host is refused if its shrunk rate of failures is more than this.
-REFUSED = 0.5
+#: Beside the rules above, a document fails for its host with more symbols a word (hundredths), or more repeated lines (hundredths of its lines).
+MOST_SYMBOLS, MOST_DUP_LINES = 10, 30
+#: A host is refused if its rate of failures is surely over TIMES the mean of all hosts, held within LIMITS; surely: by SURE
+#: deviations of its posterior (95 %).
+TIMES, LIMITS, SURE = 2.0, (0.2, 0.6), 1.645
+#: Bounds of the prior's strength, in documents.
+STRENGTH = (1.0, 1000.0)
 
 _BLANK = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
@@ -21,7 +26,7 @@ def _without(text: str, signs: str) -> Column:
 
 
 def rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """``keep`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each row."""
+    """``keep`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and failed (that or another rule) of each row."""
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("w", F.array_remove(F.split("text", _BLANK), ""))
     rows = rows.withColumn("lines", F.when(F.instr("text", "\n") > 0, F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)))
@@ -38,33 +43,44 @@ def rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> Data
         (F.length("text") - F.length(_without("text", "#*$%&|<>"))).cast("long").alias("n_symbols"),
         F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(F.size("lines"), F.lit(1)).alias("_lines"),
     )
-    return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    marks = (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("n_words")) | (100 * F.col("n_dup_lines") > MOST_DUP_LINES * F.col("_lines"))
+    return out.withColumn("failed", F.col("base_failed") | marks).drop("_lines")
 
 
-def hosts(checked: DataFrame, refused: float = REFUSED) -> DataFrame:
-    """(source, n, failed, rate, refused) per host of rows with source and base_failed.
+def hosts(checked: DataFrame) -> DataFrame:
+    """(source, n, fails, rate, refused) per host of rows with source and failed.
 
-    rate = (failed + a) / (n + a + b); a and b fit the hosts' rates by moments, each host counting
-    once: their mean m and variance v give a + b = m * (1 - m) / v - 1, held within 1 to 1000. One host alone, or no variance: 1000.
+    rate = (fails + a) / (n + a + b). The prior's a and b fit the hosts' rates by moments, each host counting once: their mean m, and
+    their variance less what chance adds to it (m * (1 - m) / n on a host of n documents), v, give
+    a + b = m * (1 - m) / v - 1, held within STRENGTH; without variance it is the upper bound. A host is refused if rate lies SURE posterior
+    deviations (a normal in the beta's place) over the limit, so few documents alone refuse no host. A rate just there doesn't refuse.
     """
-    counts = cut(checked.groupBy("source").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed")))
-    share = F.col("failed") / F.col("n")
-    m, v = counts.agg(F.avg(share), F.var_samp(share)).first()
-    m = m or 0.0
-    strength = 1000.0 if not v else min(max(m * (1 - m) / v - 1, 1.0), 1000.0)
-    rate = (F.col("failed") + m * strength) / (F.col("n") + strength)
-    return counts.select("source", "n", "failed", rate.alias("rate"), (rate > refused).alias("refused"))
+    counts = cut(checked.groupBy("source").agg(F.count("*").alias("n"), F.count_if("failed").alias("fails")))
+    share = F.col("fails") / F.col("n")
+    m, spread, chance = counts.agg(F.avg(share), F.var_samp(share), F.avg(1 / F.col("n"))).first()
+    m, v = m or 0.0, 0.0
+    if spread and chance < 1:
+        v = (spread - m * (1 - m) * chance) / (1 - chance)
+    strength = min(max(m * (1 - m) / v - 1, STRENGTH[0]), STRENGTH[1]) if v > 0 else STRENGTH[1]
+    limit = min(max(TIMES * m, LIMITS[0]), LIMITS[1])
+    rated = counts.withColumn("rate", (F.col("fails") + m * strength) / (F.col("n") + strength))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1))
+    return rated.withColumn("refused", F.col("rate") - SURE * deviation > limit)
 
 
-def host_rules(docs: DataFrame, refused: float = REFUSED) -> DataFrame:
+def host_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept) per row of ``docs``.
 
-    A document fails by itself with fewer than 10 words or over 20 % of its words in 5-word windows found twice or more in it.
-    Failures are counted by host (source; null is a host of its own), rates are shrunk by a beta prior, and the documents of a
-    host whose rate is over ``refused`` go as well. Null and empty texts have no words and fail. Other columns are ignored.
+    A document fails by itself (base_failed) with fewer than 10 words or over 20 % of its words in 5-word windows found twice or more in
+    it. For its host it also fails with over 0.1 symbols a word or over 30 % of repeated lines. Failures are counted by host (source;
+    null is a host of its own), rates are shrunk by an empirical beta prior, and a host that is refused takes all its documents
+    with it. Null and empty texts have no words and fail. Repeated rows count each; texts of any length are read whole; an empty
+    table gives none. Other columns are ignored.
     """
     checked = cut(rules(docs))
-    verdict = hosts(checked, refused).select(F.col("source").alias("_s"), "rate", "refused")
-    out = checked.join(verdict, F.col("source").eqNullSafe(F.col("_s")))
+    verdict = cut(hosts(checked).select(F.col("source").alias("_s"), "rate", "refused"))
+    out = checked.join(F.broadcast(verdict) if fits(verdict) else verdict, F.col("source").eqNullSafe(F.col("_s")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & ~F.col("refused")).alias("kept"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import textscan as ts
-from siftstone.llm.shared import attach, components, cut
+from siftstone.llm.shared import attach, components, cut, fits
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -42,7 +42,7 @@ def _signatures(size: int, rows: int, halves: int):
         scale = rng.integers(0, 2**63, 2 * halves * rows, np.uint64) * np.uint64(2) + np.uint64(1)
         for piece in ts.pieces(batches):
             sets, first = shingle_sets(ts.words(piece.column("text")), size)
-            digests = [pa.array(ts.ranges(sets, first[:-1], first[1:], k).view(np.int64)) for k in (2, 3)]
+            digests = map(pa.array, ts.digests([sets], first))
             filled = np.flatnonzero(first[1:] > first[:-1])
             keys = np.zeros((len(filled), 2 * halves), np.uint64)
             if len(filled):
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     chosen = cut(groups.join(sizes, "root").join(texts.select(F.col("doc_id").alias("node"), "text_key"), "node").select(F.col("node").alias("doc_id"), "text_key", "root", "blocks"))
-    sets = attach(keyed, chosen, ["doc_id", "text_key"], "inner", 60).dropDuplicates(["doc_id", "text_key"])
+    sets = attach(keyed, chosen, ["doc_id", "text_key"], "inner").dropDuplicates(["doc_id", "text_key"])
     sets = sets.select("doc_id", "root", "blocks", "text").mapInArrow(_sets(shingle), "doc_id long, root long, blocks int, shingles binary")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -210,5 +210,5 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     """
     found = near_duplicates(docs, shingle, percent)
     gone = cut(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    small = F.broadcast(gone) if gone.count() * 8 <= 32 << 20 else gone
+    small = F.broadcast(gone) if fits(gone) else gone
     return docs.join(small, docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -80,29 +80,43 @@ def _rest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rest", F.when(F.size("found") > 0, F.expr(blank)).otherwise(F.col("text")))
 
 
+def _entities(found: str) -> Column:
+    """What spans name: each value, and what of it is shared with others: an address's name and its domain, an IP address's network of 256, a card's issuer."""
+    value = lambda x: F.concat(x["kind"], F.lit(":"), x["value"])
+    email, ip, card = (F.filter(found, _of(k)) for k in ("email", "ip", "card"))
+    parts = [
+        F.transform(found, value),
+        F.transform(email, lambda x: F.concat(F.lit("name:"), F.lower(F.substring_index(x["value"], "@", 1)))),
+        F.transform(email, lambda x: F.concat(F.lit("domain:"), F.lower(F.substring_index(x["value"], "@", -1)))),
+        F.transform(ip, lambda x: F.concat(F.lit("network:"), F.substring_index(x["value"], ".", 3))),
+        F.transform(card, lambda x: F.concat(F.lit("issuer:"), F.substring(F.regexp_replace(x["value"], "[^0-9]", ""), 1, 6))),
+    ]
+    return F.array_distinct(F.concat(*parts))
+
+
 def disclosing(rows: DataFrame, docs: DataFrame, least: int = LEAST_TEXTS, share: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, disclosure) of terms that give entities away.
+    """(entity, term, disclosure) of terms that give entities away: whole values, and names, domains, networks and issuers.
 
     ``rows`` has k1, k2 and found of each document, ``docs`` k1, k2 and text. With N documents, n_e that hold the entity, n_t
     that hold the term and n_te that hold both, disclosure = log2(N * n_te / (n_t * n_e)) / log2(N / n_e): 1 if the term
     occurs with the entity alone. It must reach ``share``, from ``least`` distinct texts. As n_te is at most n_e, no term of
     more than N ** (1 - share) * n_e ** share documents can; such pairs, and entities and terms of too few texts, are
-    left out before pairs are made, which changes nothing.
+    left out before pairs are made, which changes nothing. Only terms of the entities' own texts are counted over all documents.
     """
     total = float(rows.count())
-    entities = F.array_distinct(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])))
-    held = cut(rows.where("size(found) > 0").select("k1", "k2", F.explode(entities).alias("entity")).groupBy("k1", "k2", "entity").agg(F.count("*").alias("n")))
+    held = cut(rows.where("size(found) > 0").select("k1", "k2", F.explode(_entities("found")).alias("entity")).groupBy("k1", "k2", "entity").agg(F.count("*").alias("n")))
     holders = cut(held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where((F.col("texts") >= least) & (F.col("n_e") < total)).drop("texts"))
     most = holders.agg(F.max("n_e")).first()[0]
     if most is None:
         return holders.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("disclosure"))
     within = lambda n_e: F.pow(F.lit(total), F.lit(1 - share)) * F.pow(n_e, F.lit(share)) * 1.001
-    who = cut(attach(held, holders, ["entity"], "inner", 120))
-    uses = _rest(base_spans(docs)).select(F.explode(_terms("rest")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    uses = cut(uses.where((F.col("n_t") >= least) & (F.col("n_t") <= within(F.lit(most)))))
-    texts = attach(docs, cut(who.select("k1", "k2").distinct()), ["k1", "k2"], "inner", 40).groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
-    terms = attach(_rest(base_spans(texts)).select("k1", "k2", F.explode(_terms("rest")).alias("term")), uses, ["term"], "inner", 80)
-    both = who.join(terms, ["k1", "k2"]).where(F.col("n_t") <= within(F.col("n_e")))
+    who = cut(attach(held, holders, ["entity"], "inner"))
+    texts = attach(docs, cut(who.select("k1", "k2").distinct()), ["k1", "k2"], "inner").groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
+    named = cut(_rest(base_spans(texts)).select("k1", "k2", F.explode(_terms("rest")).alias("term")))
+    candidates = cut(named.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("term"))
+    uses = attach(_rest(base_spans(docs)).select(F.explode(_terms("rest")).alias("term")), candidates, ["term"], "inner").groupBy("term").agg(F.count("*").alias("n_t"))
+    uses = cut(uses.where(F.col("n_t") <= within(F.lit(most))))
+    both = who.join(attach(named, uses, ["term"], "inner"), ["k1", "k2"]).where(F.col("n_t") <= within(F.col("n_e")))
     both = both.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= least)
     own = F.log2(F.lit(total) / F.col("n_e"))
     pmi = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
@@ -116,16 +130,18 @@ def personal(docs: DataFrame, least: int = LEAST_TEXTS, share: float = DISCLOSUR
     pairs = disclosing(rows, keyed.drop("doc_id"), least, share)
     # a term gives its entity away in any document, above all where the entity itself isn't named
     telling = cut(pairs.select("term").distinct())
+    if not telling.limit(1).count():
+        return rows.withColumn("terms", F.array().cast(_SPAN))
     used = _rest(base_spans(keyed)).select("k1", "k2", F.explode(_terms("rest")).alias("term"))
-    wanted = cut(attach(used, telling, ["term"], "inner", 60).groupBy("k1", "k2").agg(F.collect_set("term").alias("wanted")))
-    texts = attach(keyed.drop("doc_id"), wanted, ["k1", "k2"], "inner", 200).groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.any_value("wanted").alias("wanted"))
+    wanted = cut(attach(used, telling, ["term"], "inner").groupBy("k1", "k2").agg(F.collect_set("term").alias("wanted")))
+    texts = attach(keyed.drop("doc_id"), wanted, ["k1", "k2"], "inner").groupBy("k1", "k2").agg(F.any_value("text").alias("text"), F.any_value("wanted").alias("wanted"))
     texts = _rest(base_spans(texts)).withColumn("word", F.lit(_WORD))
     spans = (
         f"aggregate(filter(zip_with(split(rest, word, -1), regexp_extract_all(rest, word, 0), (g, m) -> named_struct('g', length(g), 'm', m)), p -> p.m is not null), named_struct('at', 0, 'out', cast(array() as {_SPAN})), (a, p) -> named_struct("
         "'at', a.at + p.g + length(p.m), 'out', if(array_contains(wanted, lower(p.m)), concat(a.out, array(named_struct('kind', 'term', 'at', a.at + p.g, 'to', a.at + p.g + length(p.m), 'value', p.m))), a.out)), a -> a.out)"
     )
     terms = cut(texts.select("k1", "k2", F.expr(spans).alias("terms")))
-    out = attach(rows, terms, ["k1", "k2"], "left", 300)
+    out = attach(rows, terms, ["k1", "k2"], "left")
     return out.select("doc_id", "k1", "k2", "found", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
 
 
@@ -136,21 +152,28 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.get(kinds, x["k"].cast("int") - 1), x["at"], x["to"])), ",")
 
 
-def find_personal(docs: DataFrame) -> DataFrame:
+def find_personal(docs: DataFrame, least: int = LEAST_TEXTS, share: float = DISCLOSURE) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row of ``docs``.
 
     spans lists every span as kind:start:end (code points, end exclusive): e-mail addresses, IPv4 addresses, card and
     phone numbers by pattern, and ``term`` spans, words whose corpus co-occurrence gives an entity away, also in documents without that entity.
-    A null text is empty. Rows with equal texts get equal results; an empty table gives none. Other columns are ignored.
+    An entity is a value, or a name, domain, network or issuer that values share. ``least`` and ``share`` are the distinct texts and the
+    share of an entity's information that a term must have; a share just reached counts.
+
+    A null text is empty. Rows with equal texts get equal results, repeated rows each; spans of two kinds that begin alike stand in order of
+    kinds; texts of any length are read whole; an empty table gives none. Other columns are ignored.
     """
-    rows = personal(docs)
+    rows = personal(docs, least, share)
     counts = [F.size(F.filter("found", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(_listed(F.col("found")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("found", "terms")).alias("spans"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): personal data generalised to its kind in angle brackets, terms that give it away removed; overlapping spans go as one."""
-    rows = personal(docs)
+def sanitise(docs: DataFrame, least: int = LEAST_TEXTS, share: float = DISCLOSURE) -> DataFrame:
+    """(doc_id, text): personal data generalised to its kind in angle brackets, terms that give it away removed; overlapping spans go as one.
+
+    A null text stays null; otherwise as in ``find_personal``.
+    """
+    rows = personal(docs, least, share)
     spans = rows.select("k1", "k2", F.array_sort(F.transform(F.concat("found", "terms"), lambda x: F.struct(x["at"].alias("at"), x["to"].alias("to"), x["kind"].alias("kind")))).alias("spans")).where("size(spans) > 0")
     spans = cut(spans.groupBy("k1", "k2").agg(F.any_value("spans").alias("spans")))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
@@ -158,4 +181,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
         "aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.to), 'out', if(x.at < a.at, a.out, "
         "concat(a.out, substring(text, a.at + 1, x.at - a.at), if(x.kind = 'term', '', concat('<', upper(x.kind), '>'))))), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    return attach(keyed, spans, ["k1", "k2"], "left", 300).select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(clean)).alias("text"))
+    return attach(keyed, spans, ["k1", "k2"], "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(clean)).alias("text"))

@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 from pyspark.sql.window import Window
 
+from siftstone.session import durable
+
 #: A side of at most so many bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
-def ready(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's spark.checkpoint.dir, or a folder of its own where none is set (tests)."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftstone-checkpoint-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder; survives lost executors."""
-    ready(df.sparkSession)
-    return df.checkpoint()
+    return durable(df)
+
+
+#: Bytes that a broadcast row takes beside its values, at least.
+ROW_BYTES = 40
+
+
+def _bytes(name: str, kind: DataType) -> Column:
+    """The bytes of a column's value in a row."""
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StructType):
+            each = F.octet_length(F.to_json(name)) * 2
+        else:
+            each = F.expr(f"aggregate(`{name}`, 0L, (a, x) -> a + octet_length(x) + 16)") if isinstance(kind.elementType, StringType) else F.size(name) * 8
+        return F.coalesce(each, F.lit(0)) + 24
+    return F.coalesce(F.octet_length(name), F.lit(0)) + 16 if isinstance(kind, (StringType, BinaryType)) else F.lit(8)
+
+
+def fits(small: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows (already cut) are small enough to be broadcast, by their measured bytes."""
+    sizes = sum((_bytes(f.name, f.dataType) for f in small.schema), F.lit(ROW_BYTES))
+    return (small.agg(F.sum(sizes.cast("long"))).first()[0] or 0) <= limit
 
 
-def attach(large: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``large`` joined to ``small`` (already cut): broadcast if count x row_bytes is within the limit, else a shuffle join."""
-    if small.count() * row_bytes <= limit:
-        small = F.broadcast(small)
-    return large.join(small, on, how)
+def attach(large: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``large`` joined to ``small`` (already cut): broadcast if its measured bytes are within the limit, else a shuffle join."""
+    return large.join(F.broadcast(small) if fits(small, limit) else small, on, how)
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -37,16 +49,16 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
 
     Rows are range-partitioned by keys and order, summed per partition, and the
     partitions' totals (one row per partition and key) are summed ahead; no key's
-    rows meet in one task. The placing is cut first, as it must not change between uses.
+    rows meet in one task, as partition and keys are one value that rows are dealt by.
+    The placing is cut first, as it must not change between uses.
     """
-    placed = cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    totals = placed.groupBy("_part", *keys).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
-    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = totals.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_a_{k}") for k in sums])
-    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.struct(F.spark_partition_id().alias("at"), *keys)))
+    totals = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
+    ahead = Window.partitionBy(*[f"_part.{k}" for k in keys]).orderBy("_part.at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cut(totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_a_{k}") for k in sums]))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_w_{k}") for k, v in sums.items()])
-    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
-    return summed.join(ahead, same).select(*rows.columns, *[(F.col(f"_a_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
+    return attach(summed, ahead, ["_part"], "inner").select(*rows.columns, *[(F.col(f"_a_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,7 +71,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written out, so that the join deals both sides anew and can split the rows around one centre over tasks
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()

@@ -18,26 +18,20 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 WINDOW = 50
 
 
-def _digests(batches):
-    for piece in ts.pieces(batches):
-        w = ts.words(piece.column("text"))
-        cols = [ts.ranges(ts.word_hashes(w, k), w.first[:-1], w.first[1:], 2 + k).view(np.int64) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), *map(pa.array, cols), pa.array(w.counts)], ["doc_id", "text_key", "d1", "d2", "n_words"])
-
-
-def _anchors(window: int, lanes: int = 2):
+def _anchors(window: int):
+    """A digest of the words of each row, and its anchors."""
     length = window - PERIOD + 1
     on_cover = np.isin(np.arange(PERIOD), COVER)
 
     def scan(batches):
         for piece in ts.pieces(batches):
             w = ts.words(piece.column("text"))
-            hashes = [ts.word_hashes(w, k) for k in range(lanes)]
-            cols = [pa.array(ts.ranges(h, w.first[:-1], w.first[1:], 2 + k).view(np.int64)) for k, h in enumerate(hashes)]
+            hashes = [ts.word_hashes(w, k) for k in (0, 1)]
+            cols = map(pa.array, ts.digests(hashes, w.first))
             place = np.arange(len(w.start)) - w.first[w.row]
             at = np.flatnonzero(on_cover[place % PERIOD] & (place + length <= w.counts[w.row]) & (w.counts[w.row] >= window))
             found = ts.ranges(hashes[0], at, at + length, 4)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *cols, pa.array(w.counts), ts.long_list(found, np.searchsorted(at, w.first))], ["doc_id", "d1", "d2", "n_words", "anchors"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_key"), *cols, pa.array(w.counts), ts.long_list(found, np.searchsorted(at, w.first))], ["doc_id", "text_key", "d1", "d2", "n_words", "anchors"])
 
     return scan
 
@@ -104,7 +98,7 @@ def _spans(places: Column, reach: int) -> tuple[Column, Column]:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): documents without the words of repeated windows.
 
-    A window of ``window`` consecutive words (over 31) is repeated if its word sequence
+    A window of ``window`` consecutive words (over 31, 512 at most) is repeated if its word sequence
     also starts in a document with a smaller doc_id. Anchors of ``window - 30`` words are
     hashed only at places that lie in a difference cover modulo 31; two equal windows
     anywhere share such an anchor at one offset. Anchors of two documents or more are
@@ -113,15 +107,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     One row per input row. Null text: no words. A null doc_id: its text stays whole and
     removes nothing. Rows with one doc_id never remove each other's words. Documents with
     the same word sequence count once in the search; all but the smallest lose all words
-    (if they have a window). Other columns are ignored.
+    (if they have a window). Texts of any length are read whole. An empty table gives none. Other columns are ignored.
     """
+    if not PERIOD < window <= ts.SHORT:
+        raise ValueError(f"window must be within {PERIOD + 1} and {ts.SHORT}")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     known = keyed.where("doc_id is not null")
-    digests = cut(known.mapInArrow(_digests, "doc_id long, text_key long, d1 long, d2 long, n_words long"))
-    classes = digests.where(F.col("n_words") >= window).groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("least"))
+    scanned = known.mapInArrow(_anchors(window), "doc_id long, text_key long, d1 long, d2 long, n_words long, anchors array<long>")
+    digests = cut(scanned.drop("anchors"))
+    # written out like ``shared`` below, so that the rows of one sequence of words can be split over tasks
+    classes = cut(digests.where(F.col("n_words") >= window).groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     copies = digests.join(classes, ["d1", "d2", "n_words"]).where("doc_id > least").select("doc_id", "text_key").distinct()
 
-    scanned = known.select("doc_id", "text").mapInArrow(_anchors(window), "doc_id long, d1 long, d2 long, n_words long, anchors array<long>")
     firsts = scanned.where(F.size("anchors") > 0).groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("doc_id"), F.any_value("anchors").alias("anchors"))
     anchors = firsts.select("doc_id", F.posexplode("anchors").alias("nth", "anchor"))
     # written out, so that the join deals both sides anew and can split the rows of one key over tasks
@@ -133,7 +130,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lo, hi = _spans(F.col("places"), PERIOD)
     around = cut(hits.select("doc_id", F.transform(lo, lambda x: x - (PERIOD - 1)).alias("lo"), hi.alias("hi")))
 
-    rows = attach(known, around, ["doc_id"], "inner", 120)
+    rows = attach(known, around, ["doc_id"], "inner")
     windows = rows.select("doc_id", "text_key", "text", "lo", "hi").mapInArrow(_windows(window), "doc_id long, text_key long, w1 long, w2 long, place int")
     least = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least"))
     repeats = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("place")).alias("places"))
@@ -142,5 +139,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     none = F.lit(None).cast("array<int>")
     marks = spans.join(copies, ["doc_id", "text_key"], "left_anti").withColumn("copy", F.lit(False))
     marks = cut(marks.union(copies.select("doc_id", "text_key", none, none, F.lit(True))))
-    rows = attach(keyed, marks, ["doc_id", "text_key"], "left", 150)
+    rows = attach(keyed, marks, ["doc_id", "text_key"], "left")
     return rows.select("doc_id", "text", "copy", "lo", "hi").mapInArrow(_removal(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

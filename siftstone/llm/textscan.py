@@ -1,13 +1,16 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 Words are maximal runs of bytes other than space and TAB..CR; UTF-8 never uses
-those bytes inside a character, so bytes and characters agree. All hashes are
-polynomials over random byte values modulo 2**64, taken from prefix sums, then
-mixed; a second lane with other constants makes 128-bit keys.
+those bytes inside a character, so bytes and characters agree. Hashes of short
+ranges are polynomials over random values modulo 2**64, taken from prefix sums, then
+mixed; a second lane with other constants makes 128-bit keys. Such polynomials
+agree on some sequences of 1,024 values and more (the Thue-Morse sequence and its
+complement), in every lane, so ranges of over SHORT values are hashed by BLAKE2 instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -17,6 +20,8 @@ import pyarrow as pa
 
 #: Bytes of text that are handled at once; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Most values of a range that a polynomial is used for.
+SHORT = 512
 U64 = np.uint64
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -109,7 +114,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
-    """Hash of values[start:end] for each pair."""
+    """Hash of values[start:end] for each pair; for ranges of SHORT values at most."""
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(values * _power(lane, False, len(values)), out=total[1:])
     return mix((total[end] - total[start]) * _power(lane, True, len(values) + 1)[start] + (end - start).astype(U64))
@@ -117,7 +122,22 @@ def ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int) ->
 
 def word_hashes(found: Words, lane: int = 0, lower: bool = False) -> np.ndarray:
     """A hash of each word; with ``lower``, A-Z count as a-z."""
-    return ranges(_bytes_of(lane, lower)[found.data], found.start, found.end, lane)
+    out = ranges(_bytes_of(lane, lower)[found.data], found.start, found.end, lane)
+    for i in np.flatnonzero(found.end - found.start > SHORT):
+        word = found.data[found.start[i] : found.end[i]].tobytes()
+        out[i] = np.frombuffer(hashlib.blake2b(word.lower() if lower else word, digest_size=8, salt=bytes([lane])).digest(), U64)[0]
+    return out
+
+
+def digests(lanes: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, in two halves, of the values first[i]:first[i+1] of each row in all lanes, whatever their number."""
+    out = np.zeros((len(first) - 1, 2), np.int64)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        whole = hashlib.blake2b(digest_size=16)
+        for lane in lanes:
+            whole.update(lane[a:b].tobytes())
+        out[i] = np.frombuffer(whole.digest(), np.int64)
+    return out[:, 0], out[:, 1]
 
 
 def long_list(values: np.ndarray, first: np.ndarray) -> pa.Array:
