@@ -108,7 +108,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     null, empty or blank text stay. Equal texts stay or go together; an empty table or an empty benchmark drops nothing.
     """
     rows, found = hits(docs, benchmark)
-    bad = cut(attach(rows, found, ["k1", "k2"], "inner").where("20 * n_hit >= n_words").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
+    bad = cut(attach(rows, found, ["k1", "k2"], "inner").where("full or 20 * n_hit >= n_words").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
     keyed = docs.withColumns({"_b1": F.xxhash64("text"), "_b2": F.xxhash64(F.lit(1), "text")})
     small = F.broadcast(bad) if fits(bad) else bad
     return keyed.join(small, (F.col("_b1") == F.col("_k1")) & (F.col("_b2") == F.col("_k2")), "left_anti").select(*docs.columns)
