@@ -24,8 +24,8 @@ def sql(text: str) -> str:
 def lines(text: str | Column) -> Column:
     """Lines as array: split at LF, a trailing CR dropped, no line after a final LF; null for a null text."""
     text = F.col(text) if isinstance(text, str) else text
-    parts = F.split(text, r"\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
+    return F.when(text == "", F.slice(parts, 1, 0)).otherwise(parts)
 
 
 def located(line: str, pattern: str) -> Column:
@@ -66,10 +66,6 @@ def window(line: Column, col: Column, value: Column, shown: Column) -> Column:
     return F.when(F.length(whole) > F.greatest(F.lit(SNIPPET), F.length(shown)), F.concat(F.substring(whole, 1, SNIPPET), F.lit("…"))).otherwise(whole)
 
 
-def masked(label: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{label}: "), redact(value))
-
-
 def leaf(path: Column) -> Column:
     """Last part of a path after /, \\ and ! (container members)."""
     return F.element_at(F.split(path, r"[/\\!]"), -1)

@@ -23,17 +23,16 @@ def scheme(pattern: str) -> str | None:
     return None
 
 
+_SCHEME = "^(" + "|".join(f"(?i:{kind})(?=: *[0-9a-fA-F]{{{size}}} *$)" for kind, size in DIGESTS.items()) + f"|(?:{'|'.join(NETWORK)}|breach-email|yara)(?=: *[^ ]))"
+
+
 def scheme_of(pattern: Column) -> Column:
-    """The same as an expression."""
-    head, rest = F.substring_index(pattern, ":", 1), F.trim(F.expr("substring(pattern, instr(pattern, ':') + 1)"))
-    out = None
-    for kind, size in DIGESTS.items():
-        is_ = (F.lower(head) == kind) & rest.rlike(f"^[0-9a-fA-F]{{{size}}}$")
-        out = F.when(is_, kind) if out is None else out.when(is_, kind)
-    return out.when(head.isin(*NETWORK, "breach-email", "yara") & (rest != "") & pattern.contains(":"), head)
+    """The same as an expression: one regex, as a case per scheme grows beyond what can be compiled."""
+    kind = F.lower(F.regexp_extract(pattern, _SCHEME, 1))
+    return F.nullif(kind, F.lit(""))
 
 
 def value_of(pattern: Column) -> Column:
     """What follows the scheme: lower case but for URLs."""
     rest = F.trim(F.expr("substring(pattern, instr(pattern, ':') + 1)"))
-    return F.when(F.substring_index(pattern, ":", 1) == "url", rest).otherwise(F.lower(rest))
+    return F.when(pattern.startswith("url:"), rest).otherwise(F.lower(rest))

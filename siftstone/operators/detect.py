@@ -22,13 +22,22 @@ def either(rules: tuple[Rule, ...]) -> str:
     return "(?U)" + "|".join(f"(?:{r.pattern})" for r in rules)
 
 
-def hits(lines: DataFrame, rules: tuple[Rule, ...], only_first: bool = False) -> DataFrame:
-    """Adds rule_ord, rule, col, value, label, severity, cwe, cve: each match of each rule in each line."""
+def hits(lines: DataFrame, rules: tuple[Rule, ...], only_first: bool = False, places: bool = True) -> DataFrame:
+    """Adds rule_ord, rule, col, value, label, severity, cwe, cve: each match of each rule in each line.
+
+    A rule's matches are looked for only in lines that it occurs in. Without ``places`` col is null, which saves locating them.
+    """
     found = []
     for at, rule in enumerate(rules):
-        each = m.first("content", rule.pattern) if only_first else m.located("content", rule.pattern)
+        pattern = F.lit(m.java(rule.pattern))
+        if places:
+            each = m.first("content", rule.pattern) if only_first else m.located("content", rule.pattern)
+        else:
+            each = F.array(F.regexp_extract("content", m.java(rule.pattern), 0)) if only_first else F.regexp_extract_all("content", pattern, F.lit(0))
+            each = F.transform(each, lambda v: F.struct(F.lit(None).cast("int").alias("col"), v.alias("value")))
         meta = [F.lit(at).alias("rule_ord"), F.lit(rule.name).alias("rule"), F.lit(rule.description).alias("label"), F.lit(rule.severity).cast("string").alias("severity"), F.lit(rule.cwe).cast("string").alias("cwe"), F.lit(rule.cve).cast("string").alias("cve")]
-        found.append(F.transform(each, _with(meta)))
+        each = F.when(F.col("content").rlike(m.java(rule.pattern)), F.transform(each, _with(meta)))
+        found.append(F.coalesce(each, F.array()))
     return lines.select("*", F.explode(F.concat(*found)).alias("_h")).select(*lines.columns, "_h.*")
 
 
@@ -65,9 +74,9 @@ def iban(value: Column) -> Column:
     return F.length(value).between(15, 34) & (F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), step) == 1)
 
 
-def personal(files: DataFrame, rules: tuple[Rule, ...] = PERSONAL) -> DataFrame:
-    """Findings of personal data, values masked under their label; card-like values keep their last four digits."""
-    rows = hits(text_lines(files, either(rules)), rules)
+def personal(files: DataFrame, rules: tuple[Rule, ...] = PERSONAL, places: bool = True) -> DataFrame:
+    """Findings of personal data, values masked under their label; card-like values keep their last four digits. Columns are null without ``places``."""
+    rows = hits(text_lines(files, either(rules)), rules, places=places)
     v = F.col("value")
     valid = F.when(F.col("rule") == "pii-ssn", ssn(v)).when(F.col("rule") == "pii-credit-card", luhn(v)).when(F.col("rule") == "pii-iban", iban(v)).otherwise(True)
     digits = F.regexp_replace(v, "[^0-9]", "")
@@ -80,10 +89,10 @@ def is_log(path: Column) -> Column:
     return (m.extension(path) == "log") | m.leaf(path).isin(*LOG_NAMES)
 
 
-def log_events(files: DataFrame, rules: tuple[Rule, ...] = LOG, any_path: bool = False) -> DataFrame:
-    """Findings of log files: the first match of each pattern in each line, unmasked."""
+def log_events(files: DataFrame, rules: tuple[Rule, ...] = LOG, any_path: bool = False, places: bool = True) -> DataFrame:
+    """Findings of log files: the first match of each pattern in each line, unmasked. Columns and snippets are null without ``places``."""
     rows = files if any_path else files.where(is_log(F.col("path")))
-    rows = hits(text_lines(rows, either(rules)), rules, only_first=True)
+    rows = hits(text_lines(rows, either(rules)), rules, only_first=True, places=places)
     return _finding(rows, m.window(F.col("content"), F.col("col"), F.col("value"), F.col("value")))
 
 
@@ -115,8 +124,3 @@ def _unsupported(pattern: str) -> bool:
     import re
 
     return bool(re.search(r"\(\?<?[=!]|\\[1-9]|\(\?P=", pattern))
-
-
-def in_file_order(findings: DataFrame) -> DataFrame:
-    """Findings by path, line, column and rule order."""
-    return findings.orderBy("path", "line", "col", "rule_ord")

@@ -68,6 +68,28 @@ def findings_graph(findings: DataFrame, files: DataFrame, rules: DataFrame) -> t
     return nodes.dropDuplicates(["id"]), edges.union(flagged)
 
 
+def record_edges(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rel, src, dst) of the relations between stored records, those of ``findings_graph`` aside: a file's syntax and indicators, a finding's
+    event and syntax, a rule's rule set, a rule set's source, a scan's files and the containers of files."""
+    of = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column))
+    edge = lambda rows, rel, src, dst: rows.select(F.lit(rel).alias("rel"), src.alias("src"), dst.alias("dst"))
+    at = tables["finding"].join(tables["ast"].select(F.col("hash").alias("file_hash")).distinct(), "file_hash", "left_semi")
+    parts = [
+        edge(tables["ast"], "has_ast", of("file", "hash"), of("ast", "hash")),
+        edge(tables["indicators"], "has_indicators", of("file", "hash"), of("indicators", "hash")),
+        edge(tables["event"], "has_event", of("finding", "finding_id"), of("event", "finding_id")),
+        edge(at, "at_ast", of("finding", "finding_id"), of("ast", "file_hash")),
+        edge(tables["from_dataset"].join(tables["rule"].select("rule_id", "name"), "rule_id"), "from_dataset", of("rule", "name"), of("dataset", "dataset")),
+        edge(tables["dataset"].join(tables["source"].select("name"), "name"), "from_source", of("dataset", "name"), of("source", "name")),
+        edge(tables["includes"], "includes", of("scan", "scan_id"), of("file", "hash")),
+        edge(tables["contained_in"], "contained_in", of("file", "inner"), of("file", "container")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, rel, direction, other, label) of every edge at the asked ids, both ways."""
     out = edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("id"), "rel", F.lit("out").alias("direction"), F.col("dst").alias("other"))
@@ -126,15 +148,15 @@ def record(tables: dict[str, DataFrame], keys: dict[str, str], ident: str) -> Da
     return tables[name].where(F.col(keys[name]) == key).select(F.to_json(F.struct("*")).alias("json"))
 
 
+#: What an export says of itself.
+EXPORT_VERSION, NAMESPACE = 1, "siftstone"
+
+
 def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, json): a row per record of every table."""
-    out = None
+    """(table, json): a head with version and namespace (its table is empty), then a row per record of every table."""
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame([("", f'{{"version":{EXPORT_VERSION},"namespace":"{NAMESPACE}"}}')], "table string, json string")
     for name in sorted(tables):
         rows = tables[name].select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("json"))
-        out = rows if out is None else out.union(rows)
+        out = out.union(rows)
     return out
-
-
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A sequence number within each path, for stable order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("path").orderBy(*order)))

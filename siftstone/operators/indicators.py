@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +44,6 @@ def indicators(files: DataFrame) -> DataFrame:
     )
 
 
-def domains_of(found: DataFrame, key: str = "path") -> DataFrame:
-    """(key, domains) of files that have any."""
-    return found.where(F.size("domains") > 0).select(key, "domains")
-
-
 def _bounded(side: DataFrame) -> DataFrame:
     """A small side, marked for broadcast if it is within LIST_ROWS rows."""
     return F.broadcast(side) if side.limit(LIST_ROWS + 1).count() <= LIST_ROWS else side
@@ -171,6 +170,31 @@ def clamav_signatures(lines: list[str]) -> tuple[list[tuple[str, str, int | None
     return hashes, bodies, skipped
 
 
+def _bodies(held: Broadcast):
+    """All bodies are looked for at once, by one automaton (one by one where its package isn't there), so their number hardly counts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, list[str]] = {}
+        for name, body in held.value:
+            if body:
+                names.setdefault(bytes(body), []).append(name)
+        try:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for body in names:
+                automaton.add_word(body.decode("latin-1"), body)
+            automaton.make_automaton()
+            within = lambda data: {body for _, body in automaton.iter(data.decode("latin-1"))}
+        except ImportError:
+            within = lambda data: {body for body in names if body in data}
+        for batch in batches:
+            found = [(path, name) for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) if data and names for body in within(data) for name in names[body]]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["path", "name"])
+
+    return scan
+
+
 def clamav(files: DataFrame, lines: list[str], content: str = "content") -> DataFrame:
     """Findings of malware signatures on any content: digests, gated by size where one is given, and literal bodies."""
     spark = files.sparkSession
@@ -183,8 +207,7 @@ def clamav(files: DataFrame, lines: list[str], content: str = "content") -> Data
         digests = files.select("path", F.octet_length(octets).alias("n"), F.explode(each).alias("d")).select("path", "n", "d.kind", "d.value")
         out.append(digests.join(_bounded(table), ["kind", "value"]).where("size is null or size = n").select("path", "name", F.lit("hash").alias("what")))
     if bodies:
-        texts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(b).alias("body")) for n, b in bodies])
-        met = files.select("path", F.explode(F.filter(texts, lambda s: F.position(s["body"], octets) > 0)).alias("s"))
-        out.append(met.select("path", "s.name", F.lit("body").alias("what")))
+        met = files.select("path", octets.alias("content")).mapInArrow(_bodies(spark.sparkContext.broadcast(bodies)), "path string, name string")
+        out.append(met.select("path", "name", F.lit("body").alias("what")))
     rows = out[0].union(out[1]) if len(out) == 2 else out[0] if out else spark.createDataFrame([], "path string, name string, what string")
     return rows.select(*_finding(F.concat(F.lit("clamav:"), F.col("name")), F.concat(F.lit('ClamAV signature "'), F.col("name"), F.lit('" matched ('), F.col("what"), F.lit(")")), F.lit("critical"), F.lit("CWE-506"), 1))

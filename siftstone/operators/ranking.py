@@ -25,22 +25,22 @@ def parse_budget(text: str) -> Budget:
     """``2000`` files, ``500mb`` bytes, ``30s`` time, ``20%`` of the files, ``90c`` or ``90%c`` of the expected findings; ValueError otherwise."""
     raw = text.strip().lower()
     if not raw:
-        raise ValueError("empty budget")
+        raise ValueError("a budget is missing")
 
     def number(value: str) -> float:
         try:
             return float(value)
         except ValueError:
-            raise ValueError(f"{text!r} is not a number with an optional s/m/h/%/kb/mb/gb suffix") from None
+            raise ValueError(f"cannot read {text!r} as an amount of files, or of s, m, h, %, c, kb, mb or gb") from None
 
     units = {"%c": ("confidence", 0.01), "c": ("confidence", 0.01), "%": ("fraction", 0.01), "gb": ("bytes", 1 << 30), "mb": ("bytes", 1 << 20), "kb": ("bytes", 1 << 10), "h": ("time", 3600), "m": ("time", 60), "s": ("time", 1)}
     for suffix, (kind, factor) in units.items():
         if raw.endswith(suffix):
             value = number(raw.removesuffix(suffix).rstrip("%"))
             if kind in ("confidence", "fraction") and not 0 <= value <= 100:
-                raise ValueError(f"{value}% is outside 0-100")
+                raise ValueError(f"a share is 0 to 100 percent, not {value}")
             if kind == "time" and value <= 0:
-                raise ValueError("a time budget must be positive")
+                raise ValueError("time has to be more than 0")
             return Budget(kind, int(max(value, 0)) * factor if kind == "bytes" else value * factor)
     value = number(raw)
     if value < 0:

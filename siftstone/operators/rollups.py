@@ -39,8 +39,8 @@ def directory(path: Column) -> Column:
 def hotspots(findings: DataFrame, limit: int = HOTSPOTS) -> DataFrame:
     """(directory, findings, risk, share) of the directories with the most findings."""
     rows = findings.groupBy(directory(F.col("path")).alias("directory")).agg(F.count("*").alias("findings"), F.coalesce(F.sum(weight(F.col("severity"))), F.lit(0)).cast("long").alias("risk"))
-    total = findings.agg(F.count("*").alias("_n"))
-    rows = rows.join(F.broadcast(total))  # one row
+    total = rows.agg(F.sum("findings").alias("_n"))  # one row, from the same shuffle
+    rows = rows.join(F.broadcast(total))
     return rows.select("directory", "findings", "risk", (F.col("findings") / F.col("_n")).alias("share")).orderBy(F.desc("findings"), F.desc("risk"), "directory").limit(limit)
 
 

@@ -9,6 +9,7 @@ from siftstone.functions import names
 from siftstone.functions.tables import BRANDS, EVENTS, INDICATORS, LOG, PERSONAL, SECRETS, SEVERITY, Rule
 from siftstone.operators import code, detect, indicators, rollups, search, supply
 from siftstone.plans import inputs
+from siftstone.reports import rows as report_rows
 from siftstone.session import ship
 
 QUERIES: dict = {}
@@ -57,8 +58,8 @@ _WEIGHT = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERIT
 _DIR = "CASE WHEN NOT contains(path, '/') THEN '.' WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END"
 
 
-def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.personal(inputs.files(spark, sf_dir))
+def _personal(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
+    return detect.personal(inputs.files(spark, sf_dir), places=places)
 
 
 @query
@@ -71,7 +72,7 @@ SQL["pii_findings"] = f"{_PII} SELECT rule, path, line, col, snippet, severity,
 
 @query
 def pii_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _personal(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
+    return _personal(spark, sf_dir, places=False).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
 
 
 SQL["pii_by_rule"] = f"{_PII} SELECT rule, count(*) AS n, count(DISTINCT path) AS files FROM p GROUP BY rule"
@@ -120,7 +121,7 @@ SQL["cim_events"] = f"{_LOG} SELECT {_EVENT(1)} AS category, {_EVENT(2)} AS acti
 
 @query
 def cim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.log_events(inputs.log_files(spark, sf_dir)).unionByName(_personal(spark, sf_dir))
+    found = detect.log_events(inputs.log_files(spark, sf_dir), places=False).unionByName(_personal(spark, sf_dir, places=False))
     return rollups.event_counts(rollups.events(found))
 
 
@@ -270,9 +271,61 @@ _SUPPLY = (
 SQL["supply_chain_manifest"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else text(v) for v in r) + ")" for r in _SUPPLY) + ") t(rule, path, line, snippet, severity, cwe)"
 
 
+def _report(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return report_rows.rendered(_personal(spark, sf_dir), kind)
+
+
+@query
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as lines of a text report."""
+    return _report(spark, sf_dir, "text")
+
+
+SQL["report_text"] = f"{_PII} SELECT concat('[', rule, '] ', severity, ' ', path, ':', line, ':', col, ' ', snippet) AS line FROM p"
+
+
+@query
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as JSON objects."""
+    return _report(spark, sf_dir, "json")
+
+
+SQL["report_json"] = f"{_PII} SELECT CAST(json_object('rule', rule, 'path', path, 'line', line, 'col', col, 'snippet', snippet, 'severity', severity, 'cwe', cwe) AS VARCHAR) AS line FROM p"
+
+
+@query
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as rows of a Markdown table."""
+    return _report(spark, sf_dir, "markdown")
+
+
+SQL["report_markdown"] = f"{_PII} SELECT concat('| ', severity, ' | ', rule, ' | ', path, ':', line, ':', col, ' | ', cwe, ' | ', replace(replace(snippet, '|', '\\|'), '`', '\\`'), ' |') AS line FROM p"
+
+
+@query
+def report_junit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as failed JUnit cases."""
+    return _report(spark, sf_dir, "junit")
+
+
+_XML = """replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')"""
+SQL["report_junit"] = f"""{_PII} SELECT concat('<testcase name="', {_XML.format(x="concat(rule, ' at ', path, ':', line, ':', col)")}, '" classname="', {_XML.format(x="path")},
+    '"><failure message="[', rule, '] ', severity, ' (', cwe, ')" type="', severity, '">', {_XML.format(x="snippet")}, '</failure></testcase>') AS line FROM p"""
+
+
+@query
+def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as SARIF results."""
+    return _report(spark, sf_dir, "sarif")
+
+
+SQL["report_sarif"] = f"""{_PII} SELECT CAST(json_object('ruleId', rule, 'level', CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END, 'message', json_object('text', snippet),
+    'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', path), 'region', json_object('startLine', line, 'startColumn', col, 'snippet', json_object('text', snippet)))))) AS VARCHAR) AS line FROM p"""
+
+
 @query
 def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.severity_counts(_personal(spark, sf_dir))
+    return rollups.severity_counts(_personal(spark, sf_dir, places=False))
 
 
 SQL["severity_rollup"] = f"{_PII} SELECT severity, count(*) AS n FROM p GROUP BY severity"
@@ -280,7 +333,7 @@ SQL["severity_rollup"] = f"{_PII} SELECT severity, count(*) AS n FROM p GROUP BY
 
 @query
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.risk_score(_personal(spark, sf_dir))
+    return rollups.risk_score(_personal(spark, sf_dir, places=False))
 
 
 SQL["risk_score"] = f"{_PII} SELECT CAST(coalesce(sum({_WEIGHT}), 0) AS BIGINT) AS risk FROM p"
@@ -289,7 +342,7 @@ SQL["risk_score"] = f"{_PII} SELECT CAST(coalesce(sum({_WEIGHT}), 0) AS BIGINT)
 @query
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten directories with the most findings (a top-k report)."""
-    rows = rollups.hotspots(_personal(spark, sf_dir))
+    rows = rollups.hotspots(_personal(spark, sf_dir, places=False))
     return rows.withColumn("share", F.round("share", 6))
 
 
@@ -324,7 +377,7 @@ SQL["severity_gate"] = f"{_PII} SELECT rule, path, severity FROM p WHERE {_WEIGH
 
 @query
 def stats_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.by_severity_total(_personal(spark, sf_dir))
+    return rollups.by_severity_total(_personal(spark, sf_dir, places=False))
 
 
 SQL["stats_total"] = f"{_PII} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info")) + " FROM p"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as text files: path, text, file_hash."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).where("text is not null")
     path = F.concat(F.lit("/corpus/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/doc"), F.col("doc_id"), F.lit(".txt"))
     return docs.select(path.alias("path"), "text")
 
@@ -22,7 +24,7 @@ FILES = "SELECT concat('/corpus/', coalesce(source, 'none'), '/', coalesce(lang,
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as lines of log files: a line per event, a file per event."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
     user, src = F.concat(F.lit("user"), F.col("user_id")), F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit("."), F.col("event_id") % 256)
     line = (
         F.when(F.col("event_type") == "error", F.concat(F.lit("Failed password for "), user, F.lit(" from "), src, F.lit(" port 22")))
@@ -42,7 +44,7 @@ LOG_FILES = """SELECT concat('/var/log/host', user_id % 50, '/', event_id, '.log
 
 def secret_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as configuration lines that hold made-up credentials."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     key = F.lpad(F.col("o_orderkey").cast("string"), 16, "0")
     kind = F.col("o_orderkey") % 4
     line = (

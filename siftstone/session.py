@@ -30,6 +30,9 @@ _shipped: set[str] = set()
 
 #: Rows of an Arrow batch: rows hold whole texts and files here. Used where the session has Spark's default.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch at most, beyond its last row.
+BATCH_BYTES = 64 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -37,6 +40,8 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if int(re.sub(r"\D", "", spark.conf.get(_BATCH_BYTES, "1"))) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))
         place = os.path.join(tempfile.mkdtemp(prefix="siftstone-"), "siftstone.zip")
@@ -51,6 +56,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: A table of at most so many bytes may be a single row group, which one task would read.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, for work that costs more than its shuffle; larger ones as they are, since their scan has tasks enough."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def checkpoints(spark: SparkSession) -> str:
     """The shared folder for checkpoints: spark.checkpoint.dir. Where none is set, a local master gets one of its own (as in tests); a cluster gets an error."""
     context = spark.sparkContext
