@@ -9,7 +9,7 @@ import time
 
 HEADLINE = (
     "pii_findings", "secret_findings", "log_auth_events", "cim_summary", "indicators_per_doc", "hash_ioc_matches", "domain_ioc_matches", "typosquat_domains", "hotspots",
-    "web_links", "container_closure", "gc_live_set", "rank_by_value", "confidence_budget", "recall_at_budget",
+    "web_links", "report_sarif", "container_closure", "gc_live_set", "rank_by_value", "confidence_budget", "recall_at_budget",
 )
 
 

@@ -19,12 +19,15 @@ from siftstone.functions.tables import SECRETS, Rule
 from siftstone.model import classifier
 from siftstone.operators import catalogs, code, detect, graph, indicators, ranking, rollups, search, supply
 from siftstone.operators.yara import yara
+from siftstone.reports import rows as report_rows
 from siftstone.session import durable, ship
 from siftstone.sources import containers, feeds, syntax, tree
 
 _TABLES = schema.TABLES | schema.EDGES
 _KEYS = {"file": "hash", "finding": "finding_id", "ast": "hash", "indicators": "hash", "scan": "scan_id", "rule": "rule_id", "dataset": "name", "cwe": "id", "event": "finding_id", "feed": "name", "path_model": "name"}
-_CATALOGUE = {"dataset", "rule", "from_dataset", "cwe", "feed", "plugin_setting", "path_model"}
+_SETTINGS = {"cwe", "feed", "plugin_setting", "path_model"}
+#: Files that a time budget's first piece takes; each piece is twice the one before.
+FIRST_SLICE = 256
 
 
 class Store:
@@ -107,26 +110,63 @@ class Engine:
 
         With a budget, files are ranked by the trained model (or the directory prior) and the head of the ranking is scanned.
         """
-        started, rules = int(time.time() * 1000), self.rules()
-        ruleset = rollups.fingerprint(feeds.rule_table(self.spark, rules)).first()["ruleset"]
+        started, rules, ruleset = self._begin()
         last = graph.latest_scan(self.store.get("scan")).collect()
         previous = self.store.get("file").where(F.lit(not full and (not last or last[0]["ruleset"] in ("", ruleset))))
         listed = durable(graph.unchanged(tree.listing(self.spark, root, ignore=ignore), previous))
-        total = listed.count()
+        total, asked = listed.count(), None
         if budget is not None:
+            asked = ranking.parse_budget(budget)
             scored = self._scored(listed.select("abs", "path", "size", (~F.col("unchanged")).alias("changed")))
-            listed = durable(listed.join(ranking.cut(ranking.ranked(scored), ranking.parse_budget(budget)).select("path"), "path", "left_semi"))
-        same, fresh = listed.where("unchanged"), listed.where("not unchanged")
-        read = durable(tree.contents(fresh))
-        files = read.where("status = 'scanned'")
+            listed = durable(listed.join(ranking.cut(ranking.ranked(scored), asked).select("path", "rk"), "path"))
+        reads, parts = [], []
+        for part in self._slices(listed, asked, started):
+            reads.append(durable(tree.contents(part.where("not unchanged"))))
+            parts.append(self._unpacked(reads[-1].where("status = 'scanned'"), rules, show))
+            done = part if len(reads) == 1 else done.unionByName(part)
+        read = reduce(DataFrame.unionByName, reads)
+        unpacked, found = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
+        own = read.where("hash is not null").select("hash", "path", "abs", "host", "mode", "uid", "gid", F.lit("").alias("user"), F.lit("").alias("group"), "size", "mtime")
+        counts = {"unreadable": read.where("status = 'unreadable'").count(), "oversize": read.where("status = 'oversize'").count(), "skipped": total - done.count()}
+        return self._record(own, unpacked, found, done.where("unchanged"), read.count(), counts, total, (name, root, "", started, ruleset))
+
+    def scan_rows(self, rows: DataFrame, root: str, name: str | None = None, host: str = "", show: bool = False) -> dict:
+        """Scans (path, content) rows of any source: processes, banners, pages, or files of a remote file system (``remote.files``). Null contents count as unreadable."""
+        started, rules, ruleset = self._begin()
+        rows = durable(rows.select("path", F.col("content").cast("binary").alias("content")))
+        files = rows.where("content is not null")
+        unpacked, found = self._unpacked(files, rules, show)
+        empty = [F.lit(0).alias(c) for c in ("mode", "uid", "gid")]
+        own = files.select(F.sha2("content", 256).alias("hash"), "path", F.col("path").alias("abs"), F.lit(host).alias("host"), *empty, F.lit("").alias("user"), F.lit("").alias("group"), F.octet_length("content").cast("long").alias("size"), F.lit("").alias("mtime"))
+        n, total = files.count(), rows.count()
+        none = self.spark.createDataFrame([], "previous_hash string")
+        return self._record(own, unpacked, found, none, total, {"unreadable": total - n, "oversize": 0, "skipped": 0}, total, (name, root, host, started, ruleset))
+
+    def _begin(self) -> tuple[int, list[Rule], str]:
+        started, rules = int(time.time() * 1000), self.rules()
+        return started, rules, rollups.fingerprint(feeds.rule_table(self.spark, rules)).first()["ruleset"]
+
+    def _slices(self, listed: DataFrame, asked: ranking.Budget | None, started: int):
+        """The files to scan; under a time budget growing pieces of the ranking, until the time is over."""
+        if asked is None or asked.kind != "time":
+            yield listed
+            return
+        at, size, most = 0, FIRST_SLICE, listed.agg(F.max("rk")).first()[0] or 0
+        while at == 0 or (at < most and time.time() - started / 1000 < asked.amount):
+            yield listed.where(F.col("rk").between(at + 1, at + size))
+            at, size = at + size, size * 2
+
+    def _unpacked(self, files: DataFrame, rules: list[Rule], show: bool) -> tuple[DataFrame, DataFrame]:
+        """What is in the files, containers opened, and the findings in it."""
         unpacked = durable(containers.expand(files.select("path", "content")).withColumn("hash", F.sha2("content", 256)))
-        found = self.detect(unpacked, rules, show)
         by_path = unpacked.select("path", F.col("hash").alias("file_hash")).dropDuplicates(["path"])
-        found = durable(found.join(by_path, "path").withColumn("finding_id", F.expr("uuid()")).withColumn("cwe_name", F.lit(None).cast("string")))
+        found = self.detect(unpacked, rules, show).join(by_path, "path")
+        return unpacked, durable(found.withColumn("finding_id", F.expr("uuid()")).withColumn("cwe_name", F.lit(None).cast("string")))
 
-        seen = read.where("hash is not null")
-        own = seen.select("hash", "path", "abs", "host", "mode", "uid", "gid", F.lit("").alias("user"), F.lit("").alias("group"), "size", "mtime")
-        inner = unpacked.where("depth > 0").select("hash", "path", F.col("path").alias("abs"), F.lit("").alias("host"), F.lit(0).alias("mode"), F.lit(0).alias("uid"), F.lit(0).alias("gid"), F.lit("").alias("user"), F.lit("").alias("group"), F.octet_length("content").cast("long").alias("size"), F.lit("").alias("mtime"))
+    def _record(self, own: DataFrame, unpacked: DataFrame, found: DataFrame, same: DataFrame, read: int, counts: dict, total: int, run: tuple) -> dict:
+        """Stores a scan: files, findings, syntax, indicators, containers and the run itself; returns its summary."""
+        name, root, host, started, ruleset = run
+        inner = unpacked.where("depth > 0").select("hash", "path", F.col("path").alias("abs"), F.lit(host).alias("host"), F.lit(0).alias("mode"), F.lit(0).alias("uid"), F.lit(0).alias("gid"), F.lit("").alias("user"), F.lit("").alias("group"), F.octet_length("content").cast("long").alias("size"), F.lit("").alias("mtime"))
         latest = graph.newest(own.unionByName(inner), "hash", F.struct("path"))
         held = unpacked.where("depth > 0").select(F.col("hash").alias("inner"), F.col("container_hash").alias("container")).distinct()
         text = unpacked.where(~indicators.is_binary(F.col("content"))).select("path", "hash", tree.text().alias("text"))
@@ -137,7 +177,7 @@ class Engine:
         nested = graph.closure(contained).join(kept.withColumnRenamed("hash", "container"), "container", "left_semi").select(F.col("inner").alias("hash"))
         scan_id = uuid.uuid4().hex
         live = kept.union(nested).union(latest.select("hash")).distinct().withColumn("scan_id", F.lit(scan_id))
-        summary = {"scan_id": scan_id, "files": read.count() + same.count(), "unchanged": kept.union(nested).distinct().count(), "findings": found.count(), "unreadable": read.where("status = 'unreadable'").count(), "oversize": read.where("status = 'oversize'").count(), "skipped": total - listed.count()}
+        summary = {"scan_id": scan_id, "files": read + same.count(), "unchanged": kept.union(nested).distinct().count(), "findings": found.count(), **counts}
         summary["coverage"] = (total - summary["skipped"]) / total if total else 1.0
 
         hashes = latest.select("hash")
@@ -146,16 +186,19 @@ class Engine:
             self.store.put(table, durable(catalogs.put(self.store.get(table), rows, ["hash"])))
         self.store.put("contained_in", durable(contained))
         self.store.add("includes", live.select("scan_id", "hash"))
-        run = name or time.strftime("%Y-%m-%dT%H-%M-%S", time.gmtime(started / 1000))
-        self.store.add("scan", self.spark.createDataFrame([(scan_id, run, root, "", started, summary["files"], summary["findings"], ruleset)], _TABLES["scan"]))
+        called = name or time.strftime("%Y-%m-%dT%H-%M-%S", time.gmtime(started / 1000))
+        self.store.add("scan", self.spark.createDataFrame([(scan_id, called, root, host, started, summary["files"], summary["findings"], ruleset)], _TABLES["scan"]))
         return summary
 
     def _scored(self, candidates: DataFrame) -> DataFrame:
-        """Candidates by what the model says of their absolute path; all alike without a model."""
+        """Candidates by what the model says of their absolute path; without a model by how often their directory has had findings."""
         model = self.model()
-        if model is None:
-            return candidates.withColumn("score", F.lit(0.5))
-        scored = classifier.score(candidates.select(F.col("abs").alias("path"), F.col("path").alias("_walked"), "size", "changed"), model)
+        rows = candidates.select(F.col("abs").alias("path"), F.col("path").alias("_walked"), "size", "changed")
+        if model is not None:
+            scored = classifier.score(rows, model)
+        else:
+            known = self.training_paths()
+            scored = ranking.prior_scores(rows, ranking.directory_prior(known), known)
         return scored.select(F.col("_walked").alias("path"), "size", "changed", "score")
 
     # reading
@@ -165,12 +208,17 @@ class Engine:
         rows = search.search(self.store.get("finding"), query, self.store.get("scan"), self.store.get("includes"))
         return rows if limit is None else rows.limit(limit)
 
-    def analyse(self, query: str = "") -> reports.Analysis:
+    def analyse(self, query: str = "", most: int = reports.LISTED) -> reports.Analysis:
         totals = rollups.totals(self.store.get("file"), self.store.get("scan"), self.store.get("finding")).first()
-        return reports.analysis(self.search(query), totals["files"], totals["scans"])
+        return reports.analysis(self.search(query), totals["files"], totals["scans"], most)
 
-    def report(self, kind: str = "text", query: str = "") -> str | bytes:
-        return reports.render(self.analyse(query), kind)
+    def report(self, kind: str = "text", query: str = "", most: int = reports.LISTED) -> str | bytes:
+        """A report that lists ``most`` findings and says how many it leaves out."""
+        return reports.render(self.analyse(query, most), kind)
+
+    def write_report(self, kind: str, folder: str, query: str = "") -> None:
+        """Every finding as a row of a report, written from the executors."""
+        report_rows.write(self.search(query), kind, folder)
 
     def gate(self, least: str, root: str) -> int:
         """Findings at or over a severity under a root (by absolute path where the file has one)."""
@@ -183,17 +231,17 @@ class Engine:
 
     def neighbours(self, ident: str) -> DataFrame:
         nodes, edges = self.graph()
-        more = self.store.get("includes").select(F.lit("includes").alias("rel"), F.concat(F.lit("scan:"), "scan_id").alias("src"), F.concat(F.lit("file:"), "hash").alias("dst"))
-        inside = self.store.get("contained_in").select(F.lit("contained_in").alias("rel"), F.concat(F.lit("file:"), "inner").alias("src"), F.concat(F.lit("file:"), "container").alias("dst"))
-        events = self.store.get("event").select(F.lit("has_event").alias("rel"), F.concat(F.lit("finding:"), "finding_id").alias("src"), F.concat(F.lit("event:"), "finding_id").alias("dst"))
-        return graph.neighbours(edges.union(more).union(inside).union(events), nodes, self.spark.createDataFrame([(ident,)], "id string"))
+        tables = ("ast", "indicators", "event", "finding", "from_dataset", "rule", "dataset", "source", "includes", "contained_in")
+        more = graph.record_edges({name: self.store.get(name) for name in tables})
+        return graph.neighbours(edges.union(more), nodes, self.spark.createDataFrame([(ident,)], "id string"))
 
     def record(self, ident: str) -> str | None:
         found = graph.record({k: self.store.get(k) for k in _KEYS}, _KEYS, ident).first()
         return found["json"] if found else None
 
     def export(self) -> DataFrame:
-        return graph.snapshot({name: self.store.get(name) for name in _TABLES if name not in _CATALOGUE})
+        """A head, then every record of every table but settings, feeds and models."""
+        return graph.snapshot({name: self.store.get(name) for name in _TABLES if name not in _SETTINGS})
 
     def records(self, table: str, limit: int = 50) -> DataFrame:
         label = graph.label(table) if table not in ("cwe", "feed", "path_model") else F.col(_KEYS[table])
@@ -245,6 +293,39 @@ class Engine:
         self.store.put("from_dataset", edges)
         self.store.put("dataset", datasets)
 
+    def datasets(self) -> DataFrame:
+        return catalogs.listed(self.store.get("dataset"))
+
+    def dataset_rules(self, name: str) -> DataFrame:
+        return catalogs.rules_of(self.store.get("rule"), self.store.get("from_dataset"), name)
+
+    def _set(self, table: str, keys: list[str], row: tuple) -> None:
+        self.store.put(table, durable(catalogs.put(self.store.get(table), self.spark.createDataFrame([row], _TABLES[table]), keys)))
+
+    def _unset(self, table: str, name: str) -> None:
+        self.store.put(table, durable(catalogs.drop(self.store.get(table), name=name)))
+
+    def add_feed(self, name: str, url: str) -> None:
+        self._set("feed", ["name"], (name, url))
+
+    def feeds(self) -> DataFrame:
+        return catalogs.listed(self.store.get("feed"))
+
+    def remove_feed(self, name: str) -> None:
+        self._unset("feed", name)
+
+    def set_plugin(self, plugin: str, key: str, value: str) -> None:
+        self._set("plugin_setting", ["plugin", "key"], (plugin, key, value))
+
+    def plugin_settings(self, plugin: str) -> dict[str, str]:
+        return {r["key"]: r["setting_value"] for r in self.store.get("plugin_setting").where(F.col("plugin") == plugin).collect()}
+
+    def models(self) -> DataFrame:
+        return catalogs.listed(self.store.get("path_model").select("name"))
+
+    def remove_model(self, name: str) -> None:
+        self._unset("path_model", name)
+
     def load_weaknesses(self, text: str) -> int:
         rows = self.spark.createDataFrame(feeds.weaknesses(text), _TABLES["cwe"])
         self.store.put("cwe", rows)

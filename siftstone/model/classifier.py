@@ -102,9 +102,10 @@ def _fit_chains(samples: DataFrame, states: int, rounds: int, cap: int) -> PathM
     return PathModel(tokens, *chains, prior, total)
 
 
-def platt(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic map of odds to labels; (1, 0) for too few labels or a slope that isn't positive."""
-    positive, negative = int(labels.sum()), int((~labels).sum())
+def platt(odds: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a logistic map of odds to labels, each counted so often; (1, 0) for too few labels or a slope that isn't positive."""
+    counts = np.ones(len(odds)) if counts is None else counts.astype(float)
+    positive, negative = int(counts[labels].sum()), int(counts[~labels].sum())
     if positive < 2 or negative < 2:
         return 1.0, 0.0
     goal = np.where(labels, (positive + 1) / (positive + 2), 1 / (negative + 2))
@@ -112,13 +113,13 @@ def platt(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     x, a, b = odds / scale, 1.0, 0.0
     for _ in range(2000):
         err = 1 / (1 + np.exp(-np.clip(a * x + b, -700, 700))) - goal
-        a, b = a - 0.5 * float((err * x).mean()), b - 0.5 * float(err.mean())
+        a, b = a - 0.5 * float(np.average(err * x, weights=counts)), b - 0.5 * float(np.average(err, weights=counts))
     a /= scale
     return (a, b) if np.isfinite(a) and np.isfinite(b) and a > 0 else (1.0, 0.0)
 
 
-#: Labelled paths that a calibration takes at most.
-CALIBRATION = 100_000
+#: Decimals of the odds that held-out paths are counted by for the calibration.
+DECIMALS = 2
 
 
 def train(samples: DataFrame, states: int = STATES, rounds: int = ROUNDS, cap: int = VOCABULARY) -> PathModel:
@@ -135,11 +136,12 @@ def train(samples: DataFrame, states: int = STATES, rounds: int = ROUNDS, cap: i
     split = samples.withColumn("_held", held("path"))
     seen, kept = split.where("not _held"), split.where("_held")
     n = {r["has_finding"]: r["count"] for r in seen.groupBy("has_finding").count().collect()}
-    rows = kept.orderBy("path").limit(CALIBRATION).select(paths.tokens(F.col("path")).alias("t"), "has_finding").collect()
-    if min(n.get(True, 0), n.get(False, 0)) >= 2 and len(rows) >= 8:
+    if min(n.get(True, 0), n.get(False, 0)) >= 2 and kept.limit(8).count() == 8:
         quick = _fit_chains(seen, states, min(rounds, QUICK), cap)
-        usable = [r for r in rows if r["t"]]
-        model.slope, model.intercept = platt(quick.odds([quick.encode(r["t"]) for r in usable]), np.array([r["has_finding"] for r in usable]))
+        odds = F.pandas_udf(lambda lists: pd.Series(quick.odds([quick.encode(list(t)) for t in lists])), "double")
+        rated = kept.select(paths.tokens(F.col("path")).alias("t"), "has_finding").where(F.size("t") > 0).select(F.round(odds("t"), DECIMALS).alias("odds"), "has_finding")
+        bins = rated.groupBy("odds", "has_finding").count().orderBy("odds", "has_finding").collect()  # a row per hundredth of the odds
+        model.slope, model.intercept = platt(np.array([r["odds"] for r in bins]), np.array([r["has_finding"] for r in bins], bool), np.array([r["count"] for r in bins]))
     return model
 
 

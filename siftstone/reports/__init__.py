@@ -16,6 +16,10 @@ ORDER = ("critical", "high", "medium", "low", "info")
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 
 
+#: Findings that a report lists unless asked for more; its counts are of all, and it says how many it leaves out.
+LISTED = 100_000
+
+
 class Analysis(NamedTuple):
     findings: list[dict]
     files: int
@@ -23,12 +27,22 @@ class Analysis(NamedTuple):
     counts: list[tuple[str, int]]
     risk: int
     hotspots: list[dict]
+    total: int | None = None
+
+    @property
+    def n(self) -> int:
+        return len(self.findings) if self.total is None else self.total
+
+    @property
+    def unlisted(self) -> int:
+        return self.n - len(self.findings)
 
 
-def analysis(findings: DataFrame, files: int, scans: int, most: int = 100_000) -> Analysis:
-    """What a report says. Counts and places are of all findings; the first ``most`` (in the order given) are listed."""
+def analysis(findings: DataFrame, files: int, scans: int, most: int = LISTED) -> Analysis:
+    """What a report says. Counts and places are of all findings; the first ``most`` (in the order given) are listed, which the driver
+    has to hold. ``rows.write`` writes them all, from the executors."""
     counts = {r["severity"]: r["n"] for r in rollups.severity_counts(findings).collect()}
-    return Analysis([r.asDict() for r in findings.limit(most).collect()], files, scans, [(s, counts[s]) for s in ORDER if s in counts], rollups.risk_score(findings).first()["risk"], [r.asDict() for r in rollups.hotspots(findings).collect()])
+    return Analysis([r.asDict() for r in findings.limit(most).collect()], files, scans, [(s, counts[s]) for s in ORDER if s in counts], rollups.risk_score(findings).first()["risk"], [r.asDict() for r in rollups.hotspots(findings).collect()], findings.count())
 
 
 def fit(text: str, width: int | None, keep: str = "left") -> str:
@@ -50,7 +64,8 @@ def _line(f: dict, width: int | None) -> str:
 
 
 def summary(a: Analysis, width: int | None = None) -> str:
-    out = [f"{len(a.findings)} finding(s) across {a.files} file(s), {a.scans} scan(s); risk score {a.risk}"]
+    out = [f"{a.n} finding(s) across {a.files} file(s), {a.scans} scan(s); risk score {a.risk}"]
+    out += [f"{a.unlisted} of them not listed"] * bool(a.unlisted)
     out += [f"  {s:<8} {n}" for s, n in a.counts]
     if a.hotspots:
         shared = rollups.common_directory([h["directory"] for h in a.hotspots])
@@ -66,7 +81,7 @@ def as_text(a: Analysis, width: int | None = None) -> str:
 
 
 def as_json(a: Analysis) -> str:
-    head = {"findings": len(a.findings), "files": a.files, "scans": a.scans, "risk_score": a.risk, "severity": dict(a.counts)}
+    head = {"findings": a.n, "unlisted": a.unlisted, "files": a.files, "scans": a.scans, "risk_score": a.risk, "severity": dict(a.counts)}
     return json.dumps({"summary": head, "findings": a.findings, "hotspots": a.hotspots}, indent=2, ensure_ascii=False) + "\n"
 
 
@@ -77,7 +92,7 @@ def cell(text: object) -> str:
 
 
 def as_markdown(a: Analysis) -> str:
-    out = ["# Findings", "", f"{len(a.findings)} finding(s), risk score {a.risk}", "", "| severity | n |", "|-|-|", *[f"| {s} | {n} |" for s, n in a.counts], "", "| severity | rule | place | cwe | snippet |", "|-|-|-|-|-|"]
+    out = ["# Findings", "", f"{a.n} finding(s), risk score {a.risk}" + f"; {a.unlisted} of them not listed" * bool(a.unlisted), "", "| severity | n |", "|-|-|", *[f"| {s} | {n} |" for s, n in a.counts], "", "| severity | rule | place | cwe | snippet |", "|-|-|-|-|-|"]
     out += [f"| {cell(f['severity'] or 'info')} | {cell(f['rule'])} | {cell(f['path'])}:{f['line']}:{f['col']} | {cell(f['cwe'])} | {cell(f['snippet'])} |" for f in a.findings]
     out += ["", "| directory | findings | risk | share |", "|-|-|-|-|", *[f"| {cell(h['directory'])} | {h['findings']} | {h['risk']} | {h['share'] * 100:.1f}% |" for h in a.hotspots]]
     return "\n".join(out) + "\n"
@@ -91,13 +106,14 @@ def xml(text: str) -> str:
 
 
 def as_junit(a: Analysis) -> str:
-    n = len(a.findings)
+    n = a.n
     out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<testsuites name="{TOOL}" tests="{n}" failures="{n}">', f'  <testsuite name="{TOOL}" tests="{n}" failures="{n}">']
     for f in a.findings:
         severity = f["severity"] or "info"
         name = xml(f"{f['rule']} at {f['path']}:{f['line']}:{f['col']}")
         message = xml(f"[{f['rule']}] {severity}" + (f" ({f['cwe']})" if f["cwe"] else ""))
         out += [f'    <testcase name="{name}" classname="{xml(f["path"])}">', f'      <failure message="{message}" type="{severity}">{xml(f["snippet"])}</failure>', "    </testcase>"]
+    out += [f"    <!-- {a.unlisted} failure(s) not listed -->"] * bool(a.unlisted)
     return "\n".join([*out, "  </testsuite>", "</testsuites>"]) + "\n"
 
 
@@ -113,7 +129,7 @@ def as_sarif(a: Analysis) -> str:
             place["region"] = {"startLine": f["line"]} | ({"startColumn": f["col"]} if f["col"] >= 1 else {}) | ({"snippet": {"text": f["snippet"]}} if f["snippet"] else {})
         results.append({"ruleId": f["rule"], "ruleIndex": list(rules).index(f["rule"]), "level": LEVELS.get(f["severity"], "warning"), "message": {"text": f["snippet"] or f["rule"]}, "locations": [{"physicalLocation": place}]})
     driver = {"name": TOOL, "version": "1.0", "rules": list(rules.values())}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2, ensure_ascii=False) + "\n"
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results} | ({"properties": {"unlisted": a.unlisted}} if a.unlisted else {})]}, indent=2, ensure_ascii=False) + "\n"
 
 
 def as_pdf(a: Analysis) -> bytes:

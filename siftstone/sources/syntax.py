@@ -52,13 +52,15 @@ def _blank(text: str, lang: str) -> str:
     return re.sub("|".join(f"(?:{x})" for x in marks), blanked, text, flags=re.S)
 
 
-def _args(text: str, start: int) -> str:
-    depth = 0
-    for i in range(start, min(len(text), start + 20_000)):
-        depth += (text[i] == "(") - (text[i] == ")")
-        if depth == 0:
-            return text[start + 1 : i]
-    return text[start + 1 : start + 20_000]
+def _closing(text: str) -> dict[int, int]:
+    """Where each opening bracket is closed; those that aren't, are at the end of the text."""
+    out, open_ = {}, []
+    for found in re.finditer(r"[()]", text):
+        if found.group() == "(":
+            open_.append(found.start())
+        elif open_:
+            out[open_.pop()] = found.start()
+    return out | dict.fromkeys(open_, len(text))
 
 
 def _names(text: str) -> tuple[list[str], list[str]]:
@@ -76,7 +78,7 @@ def by_tokens(text: str, lang: str) -> tuple[list, list, list]:
     import bisect
 
     line_of = lambda at: bisect.bisect_right(starts, at)
-    symbols, calls, assigns = [], [], []
+    symbols, calls, assigns, closing = [], [], [], _closing(code)
     for found in _CALLEE.finditer(code):
         callee = found.group(1).replace("->", ".").replace("?.", ".")
         before = code[max(0, found.start() - 12) : found.start()]
@@ -86,7 +88,7 @@ def by_tokens(text: str, lang: str) -> tuple[list, list, list]:
         if re.search(r"\b(?:def|function|func|fn|fun)\s+(?:\([^)]*\)\s*)?$", before):
             symbols.append(("function", callee, line))
             continue
-        idents, inner = _names(_args(code, found.end() - 1))
+        idents, inner = _names(code[found.end() : closing[found.end() - 1]])
         symbols.append(("call", callee, line))
         calls.append((callee, line, idents, inner))
     if lang == "powershell":

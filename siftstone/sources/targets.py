@@ -6,7 +6,7 @@ import ipaddress
 import os
 import re
 import socket
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Host and port pairs of a sweep at most; fixed value.
 MOST = 65_536
-#: Ports that a sweep asks first, by what they lead to: pages, remote access, files, mail, databases, directories, names,
-#: infrastructure, versions, printing and old services, applications, industry. Fixed values.
+#: Ports that a sweep asks first; fixed values.
 _FIRST = (
     80, 443, 8080, 8443, 8000, 8888, 8008, 8081, 8181, 8090, 3000, 5000, 9000, 4200, 4443, 7001, 7080, 9090, 9443, 10000, 8085, 8086, 8161, 2375, 2376,
     22, 23, 3389, 5900, 5901, 5985, 5986, 512, 513, 514, 623, 992, 2222,
@@ -31,7 +30,7 @@ _FIRST = (
     135, 593, 1099, 1098, 4444, 8009, 8880, 9001, 9002, 9080, 7777, 16992, 16993, 5555, 5560, 1494, 2598,
     502, 20000, 44818, 47808, 1911, 4840, 102, 2404, 789,
 )
-#: Ports of a sweep in all; after the first ones come the rest of the system's ports in ascending order.
+#: Ports of a sweep in all, unless it is given a ranking of its own; after the first ones come the rest of the system's ports in ascending order.
 RANKED = 750
 PORTS = (*_FIRST, *[p for p in range(1, 1024) if p not in _FIRST][: RANKED - len(_FIRST)])
 
@@ -57,12 +56,12 @@ def parse(args: list[str]) -> Target:
     return Target("path", (args[0],))
 
 
-def ports(text: str, top: int = 100) -> list[int]:
-    """``22,80``, ``1-3`` and ``common`` (the first ``top``), in order, once each."""
+def ports(text: str, top: int = 100, ranking: Sequence[int] = PORTS) -> list[int]:
+    """``22,80``, ``1-3`` and ``common`` (the first ``top`` of a ranking), in order, once each."""
     out: list[int] = []
     for part in filter(None, map(str.strip, text.split(","))):
         if part == "common":
-            out += PORTS[:top]
+            out += ranking[:top]
         elif found := re.fullmatch(r"(\d+)-(\d+)", part):
             out += range(int(found[1]), int(found[2]) + 1)
         else:
@@ -72,9 +71,9 @@ def ports(text: str, top: int = 100) -> list[int]:
     return list(dict.fromkeys(out))
 
 
-def sweep(spark: SparkSession, hosts: str, asked: str = "common", top: int = 100) -> DataFrame:
+def sweep(spark: SparkSession, hosts: str, asked: str = "common", top: int = 100, ranking: Sequence[int] = PORTS) -> DataFrame:
     """(host, port) of every host (names, addresses, IPv4 blocks) and port; ValueError beyond MOST pairs."""
-    listed = ports(asked, top)
+    listed = ports(asked, top, ranking)
     named: list[tuple[str, int, int]] = []
     count = 0
     for part in filter(None, map(str.strip, hosts.split(","))):

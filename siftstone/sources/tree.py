@@ -17,6 +17,8 @@ from siftstone.functions.tables import ALWAYS_SKIPPED, SKIP_DIRS
 
 #: Larger files are recorded, not read; fixed value.
 OVERSIZE = 512 << 20
+#: Contents are handed on once so many bytes are read.
+BATCH_BYTES = 8 << 20
 STAT = "path string, abs string, host string, mode int, uid int, gid int, size long, mtime string"
 
 
@@ -121,6 +123,7 @@ def contents(files: DataFrame) -> DataFrame:
     """The rows with hash, content (null for large or unreadable files) and status: scanned, oversize or unreadable."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for row in batch.to_dict("records"):
                 digest, data, status = None, None, "scanned"
@@ -136,7 +139,13 @@ def contents(files: DataFrame) -> DataFrame:
                             digest = hashlib.sha256(data).hexdigest()
                 except OSError:
                     status = "unreadable"
-                yield pd.DataFrame([{**row, "hash": digest, "content": data, "status": status}])
+                rows.append({**row, "hash": digest, "content": data, "status": status})
+                held += len(data or b"")
+                if held >= BATCH_BYTES or len(rows) >= 1000:
+                    yield pd.DataFrame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows)
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
     return files.mapInPandas(read, f"{columns}, hash string, content binary, status string")

@@ -20,15 +20,20 @@ def watch(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFram
     return rows.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "modificationTime", "length", tree.text().alias("text"))
 
 
-def findings(files: DataFrame, detector: Detector, out: str, checkpoint: str, progress: Callable[[int, int], None] | None = None, once: bool = True) -> StreamingQuery:
+def findings(files: DataFrame, detector: Detector, out: str, checkpoint: str, progress: Callable[[int, int], None] | None = None, once: bool = True, tally: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
     """Writes the detector's findings of each batch under ``out`` as batch=n folders (a batch that is run again replaces its
-    folder) and tells ``progress`` of each batch's number and findings."""
+    folder) and tells ``progress`` of each batch's number and findings, and ``tally`` of its findings by severity."""
 
     def write(batch: DataFrame, number: int) -> None:
         path = f"{out}/batch={number}"
         detector(batch).write.mode("overwrite").parquet(path)
+        if progress is None and tally is None:
+            return
+        counts = {r["severity"] or "info": r["count"] for r in batch.sparkSession.read.parquet(path).groupBy("severity").count().collect()}
         if progress is not None:
-            progress(number, batch.sparkSession.read.parquet(path).count())
+            progress(number, sum(counts.values()))
+        if tally is not None:
+            tally(number, counts)
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
