@@ -39,7 +39,8 @@ def matching(findings: DataFrame, query: str, scans: DataFrame | None = None, in
 
 def search(findings: DataFrame, query: str, scans: DataFrame | None = None, includes: DataFrame | None = None, seq: str = "finding_id") -> DataFrame:
     """The selected findings worst first, then by place, rule and ``seq``."""
-    return matching(findings, query, scans, includes).orderBy(worst_first(F.col("severity")), "path", "line", "col", "rule", seq)
+    place = [c for c in ("path", "line", "col", "rule") if c in findings.columns]
+    return matching(findings, query, scans, includes).orderBy(worst_first(F.col("severity")), *place, seq)
 
 
 def rules_matching(rules: DataFrame, query: str) -> DataFrame:
