@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import stat as modes
 from collections.abc import Iterator
-from fnmatch import fnmatch
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,44 @@ def walk(root: str, skipped: tuple[str, ...], ignore: bool = False, deep: bool =
                     continue
 
 
-def _rules(folder: str) -> list[tuple[str, str, bool, bool]]:
-    """(folder, pattern, negated, folders only) of the folder's ignore files."""
+class Ignore(NamedTuple):
+    """A line of an ignore file: the folder it lies in, what paths below it have to match, whether it takes them back, and whether it is for folders only."""
+
+    base: str
+    match: re.Pattern
+    negated: bool
+    folders: bool
+
+
+def glob(pattern: str) -> re.Pattern:
+    """An ignore pattern as a regex over paths from the folder of its file.
+
+    A slash at the start or inside ties it to that folder, else it holds at any depth; ``*`` and ``?`` stay within a name, ``**``
+    stands for any folders; ``[...]`` is one sign of a set, and a backslash takes the next sign as it is.
+    """
+    tied = "/" in pattern
+    rest, out = pattern.lstrip("/"), "" if tied else "(?:.*/)?"
+    at = 0
+    while at < len(rest):
+        if rest.startswith("**/", at) and (at == 0 or rest[at - 1] == "/"):
+            out, at = out + "(?:.*/)?", at + 3
+        elif rest.startswith("**", at) and at + 2 == len(rest) and (at == 0 or rest[at - 1] == "/"):
+            out, at = out + ".+", at + 2
+        elif rest[at] == "*":
+            out, at = out + "[^/]*", at + 1
+        elif rest[at] == "?":
+            out, at = out + "[^/]", at + 1
+        elif rest[at] == "[" and (end := rest.find("]", at + 2)) > 0:
+            body = rest[at + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
+            out, at = out + f"[{'^' + body[1:] if body[0] in '!^' else body}]", end + 1
+        else:
+            at += rest[at] == "\\" and at + 1 < len(rest)
+            out, at = out + re.escape(rest[at]), at + 1
+    return re.compile(out, re.S)
+
+
+def _rules(folder: str) -> list[Ignore]:
+    """The lines of the folder's ignore files."""
     out = []
     for name in (".gitignore", ".ignore"):
         try:
@@ -66,19 +103,19 @@ def _rules(folder: str) -> list[tuple[str, str, bool, bool]]:
         for line in map(str.rstrip, lines):
             if line and not line.startswith("#"):
                 negated, line = line.startswith("!"), line.removeprefix("!")
-                out.append((folder, line.rstrip("/"), negated, line.endswith("/")))
+                try:
+                    out.append(Ignore(folder, glob(line.rstrip("/")), negated, line.endswith("/")))
+                except re.error:  # a set that isn't one matches nothing
+                    continue
     return out
 
 
-def _ignored(entry: os.DirEntry, folder: bool, rules: list[tuple[str, str, bool, bool]]) -> bool:
-    out = False
-    for base, pattern, negated, only in rules:
-        if only and not folder:
-            continue
-        inside = os.path.relpath(entry.path, base)
-        if fnmatch(inside, pattern.lstrip("/")) if "/" in pattern else fnmatch(entry.name, pattern):
-            out = not negated
-    return out
+def _ignored(entry: os.DirEntry, folder: bool, rules: list[Ignore]) -> bool:
+    """What the last line that matches says."""
+    for rule in reversed(rules):
+        if (folder or not rule.folders) and rule.match.fullmatch(os.path.relpath(entry.path, rule.base)):
+            return not rule.negated
+    return False
 
 
 class TreeReader(DataSourceReader):

@@ -14,7 +14,7 @@ from siftstone.functions.schemes import scheme, scheme_of, value_of
 from siftstone.model import classifier
 from siftstone.operators import detect
 from siftstone.reports import rows as report_rows
-from siftstone.sources import remote, syntax, targets
+from siftstone.sources import remote, syntax, targets, tree
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +109,34 @@ def test_rows_of_reports(spark):
         report_rows.rendered(rows, "pdf")
 
 
+@pytest.mark.parametrize(
+    ("pattern", "held", "free"),
+    [
+        ("*.log", ["a.log", "x/y/a.log"], ["a.logs", "a.log/b"]),
+        ("/top", ["top"], ["x/top"]),
+        ("a/b", ["a/b"], ["x/a/b"]),
+        ("**/b", ["b", "x/y/b"], ["bb"]),
+        ("a/**", ["a/b", "a/b/c"], ["a", "b/a/c"]),
+        ("a/**/z", ["a/z", "a/b/c/z"], ["az", "a/zz"]),
+        ("f?[0-9].t", ["fa1.t", "d/fb2.t"], ["fa.t", "f/1.t"]),
+        ("[!a]x", ["bx"], ["ax"]),
+        (r"\*.c", ["*.c"], ["a.c"]),
+        ("a.b", ["a.b"], ["aXb"]),
+    ],
+)
+def test_ignore_patterns(pattern, held, free):
+    match = tree.glob(pattern).fullmatch
+    assert all(match(x) for x in held) and not any(match(x) for x in free)
+
+
+def test_ignore_files(tmp_path):
+    for name, text in {".gitignore": "*.log\n!keep.log\n/out/\nsub/**/gen\n# note\n[z\n", "a.log": "", "keep.log": "", "out/x": "", "sub/out/y": "", "sub/p/gen": "", "sub/.ignore": "y\n", "sub/z": "", "a.txt": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    seen = {p.removeprefix(f"{tmp_path}/") for p, _ in tree.walk(str(tmp_path), (), ignore=True)}
+    assert seen == {".gitignore", "keep.log", "sub/.ignore", "sub/z", "a.txt"}
+
+
 def test_arguments_of_any_length():
     pad = ", ".join(f"'{i}'" for i in range(9000))
     _, calls, _ = syntax.by_tokens(f"exec({pad}, tainted)\nfoo(a, (b)\n", "javascript")
