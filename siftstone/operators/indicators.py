@@ -23,8 +23,13 @@ def _capped(values: Column) -> Column:
     return F.array_sort(F.slice(F.array_distinct(values), 1, INDICATOR_CAP))
 
 
+#: What a text has wherever an indicator of a kind is; much cheaper to look for.
+_HINTS = {"emails": "@", "urls": "://", "ips": r"\p{Nd}\.\p{Nd}", "domains": r"[A-Za-z0-9]\.[A-Za-z0-9]", "hashes": "[a-fA-F0-9]{32}"}
+
+
 def _all(kind: str) -> Column:
-    return F.regexp_extract_all("text", F.lit(m.java(INDICATORS[kind])), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(m.java(INDICATORS[kind])), F.lit(0))
+    return F.when(F.col("text").rlike(_HINTS[kind]), found).when(F.col("text").isNotNull(), F.array().cast("array<string>"))
 
 
 def _octets(value: Column) -> Column:
