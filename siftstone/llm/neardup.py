@@ -16,8 +16,8 @@ SHINGLE, PERCENT = 5, 80
 #: a table key is a pair of them, one of each: HALVES**2 tables from 2 * HALVES * ROWS minhashes.
 #: A pair of similarity s is missed with probability 1 - (1 - (1 - s**4)**20)**2: 5e-5 at 0.8, 2e-8 at 0.9.
 ROWS, HALVES = 4, 20
-#: Distinct texts of a candidate group that are verified in one task; larger groups go by pairs of blocks.
-BLOCK = 3000
+#: Distinct texts, and shingles of them, that are verified in one task; larger candidate groups go by blocks.
+BLOCK, BLOCK_SHINGLES = 3000, 1_500_000
 
 
 def shingle_sets(words: ts.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def _sets(size: int):
             sets, first = shingle_sets(ts.words(piece.column("text")), size)
             bounds = pa.py_buffer((first * 8).astype(np.int32).tobytes())
             packed = pa.Array.from_buffers(pa.binary(), len(piece), [None, bounds, pa.py_buffer(sets.tobytes())])
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("root"), piece.column("blocks"), packed], ["doc_id", "root", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("tasks"), packed], ["doc_id", "tasks", "shingles"])
 
     return scan
 
@@ -125,7 +125,7 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _verify(percent: int):
-    """Rows come sorted by (root, left, right); one group at a time is held."""
+    """Rows come sorted by task; one task's sets at a time are held."""
 
     def links(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         found = forest(sets, percent)
@@ -134,7 +134,7 @@ def _verify(percent: int):
     def scan(batches):
         now, ids, sets = None, [], []
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "left", "right")), strict=True)
+            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "block", "chunk")), strict=True)
             for key, doc, packed in zip(keys, batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
                 if key != now:
                     if len(ids) > 1:
@@ -148,6 +148,14 @@ def _verify(percent: int):
     return scan
 
 
+def _links(keyed: DataFrame, tasks: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links among the texts of each task, of (doc_id, text_key, tasks) rows with an array of (root, block, chunk)."""
+    sets = attach(keyed, tasks, ["doc_id", "text_key"], "inner").dropDuplicates(["doc_id", "text_key"])
+    sets = sets.select("doc_id", "tasks", "text").mapInArrow(_sets(shingle), "doc_id long, tasks array<struct<root:long,block:int,chunk:int>>, shingles binary")
+    spread = sets.select("doc_id", F.explode("tasks").alias("t"), "shingles").select("doc_id", "t.*", "shingles")
+    return cut(spread.repartition("root", "block", "chunk").sortWithinPartitions("root", "block", "chunk", "doc_id").mapInArrow(_verify(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, halves: int = HALVES, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
 
@@ -158,12 +166,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Equal sets count once. Half keys that one text alone holds are dropped before the
     tensor, so tables are formed only for texts that can meet. Texts of a table are joined to
     the smallest (a star, never all pairs) and stars make candidate groups; a group is
-    then compared on full sets by a prefix-filtered join inside a task, or by pairs of
-    blocks where it has more than ``block`` texts, which yields a spanning forest of its links.
+    then compared on full sets by a prefix-filtered join inside a task, which yields a spanning forest of its links.
+    A group of more than ``block`` texts (or BLOCK_SHINGLES shingles) is compared in blocks first. Texts that are then
+    linked to most of their group need no more comparisons with each other: only the others, in chunks of
+    that size, meet the blocks. So a large group of copies is sent once, and once more for each chunk of others.
 
     Empty sets link with nothing. A null doc_id has no component (null) and is kept. Rows with one
     doc_id are one document: their texts share a component, and repeated rows are all kept or
-    dropped together. Other columns are ignored.
+    dropped together. A similarity of just ``percent`` links. Texts of any length are read whole; an empty table gives none.
+    Other columns are ignored.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     base = cut(keyed.mapInArrow(_signatures(shingle, rows, halves), "doc_id long, text_key long, n_shingles long, d1 long, d2 long, halves array<long>"))
@@ -178,16 +189,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     centres = tables.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", "a")
     groups = components(tables.join(centres, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct())
 
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    chosen = cut(groups.join(sizes, "root").join(texts.select(F.col("doc_id").alias("node"), "text_key"), "node").select(F.col("node").alias("doc_id"), "text_key", "root", "blocks"))
-    sets = attach(keyed, chosen, ["doc_id", "text_key"], "inner").dropDuplicates(["doc_id", "text_key"])
-    sets = sets.select("doc_id", "root", "blocks", "text").mapInArrow(_sets(shingle), "doc_id long, root long, blocks int, shingles binary")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # with a single block there is one task; else a block meets each other one, and itself with each of them
-    sets = sets.where("blocks = 1 or mine <> other").select("doc_id", "root", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "shingles")
-    pairs = sets.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "doc_id")
-    links = components(cut(pairs.mapInArrow(_verify(percent), "a long, b long")))
+    held = groups.join(texts.select(F.col("doc_id").alias("node"), "text_key", "n_shingles"), "node")
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = cut(held.groupBy("root").agg(parts.alias("blocks")))
+    held = cut(attach(held, sizes, ["root"], "inner").select(F.col("node").alias("doc_id"), "text_key", "root", "blocks", "n_shingles", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")))
+    task = lambda block, chunk: F.struct("root", block.cast("int").alias("block"), chunk.cast("int").alias("chunk"))
+    links = _links(keyed, cut(held.select("doc_id", "text_key", F.array(task(F.col("mine"), F.lit(-1))).alias("tasks"))), shingle, percent)
+    links_of = components(links)
+    large = sizes.where("blocks > 1")
+    if large.limit(1).count():
+        named = attach(held, cut(large.select("root")), ["root"], "left_semi").join(links_of.select(F.col("node").alias("doc_id"), F.col("root").alias("label")), "doc_id", "left")
+        named = cut(named.withColumn("label", F.coalesce("label", "doc_id")))
+        most = named.groupBy("root", "label").agg(F.struct(F.count("*").alias("n"), "label", F.sum("n_shingles").alias("s")).alias("c"))
+        most = most.groupBy("root").agg(F.max("c").alias("main"), F.sum("c.n").alias("n"), F.sum("c.s").alias("s")).where("n > main.n")
+        chunks = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / block), F.ceil((F.col("s") - F.col("main.s")) / BLOCK_SHINGLES)).cast("int")
+        most = cut(most.select("root", F.col("main.label").alias("main"), chunks.alias("chunks")))
+        named = attach(named, most, ["root"], "inner")
+        # every text in its block meets each chunk of others; an other one meets each block, in its chunk
+        blocks, chunks = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+        at = F.transform(chunks, lambda c: task(F.col("mine"), c))
+        chunk = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("chunks"))
+        tasks = F.when(F.col("label") == F.col("main"), at).otherwise(F.array_union(at, F.transform(blocks, lambda b: task(b, chunk))))
+        more = _links(keyed, cut(named.select("doc_id", "text_key", tasks.alias("tasks"))), shingle, percent)
+        links_of = components(links.union(more))
+    links = links_of
 
     # rows of one doc_id with different texts are one node
     roots = texts.select("d1", "d2", "n_shingles", F.col("doc_id").alias("first"))
