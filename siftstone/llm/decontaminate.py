@@ -91,7 +91,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, set_size: int = SET_SIZ
     gram hash of each stretch of STRIDE grams; texts that meet a benchmark fingerprint have the windows around it compared as text.
 
     Null or empty texts have no words; items without an id or words count for nothing, repeated item ids are one item. Rows
-    with equal texts get equal results. Other columns are ignored.
+    with equal texts get equal results, repeated rows each; texts of any length are read whole; an empty table gives none. Other columns are ignored.
     """
     rows, found = hits(docs, benchmark, set_size)
     out = attach(rows, found, ["k1", "k2"], "left")

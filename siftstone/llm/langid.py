@@ -127,7 +127,8 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out: crc32 of doc_id as text modulo 4 is 2 (a null doc_id: false); such rows are not learned from.
     lang_pred: the language whose regression is highest, ``und`` (score 0) where the text is null or has
     no letter, or nothing could be learned. score: that regression, held in 0 to 1. Only the text
-    predicts; whole texts are read. Ties go to the first language by name.
+    predicts; texts of any length are read whole. Ties go to the first language by name. Repeated rows are judged each;
+    an empty table gives none.
     """
     rows = docs.select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"))
     model = fit_from(rows, ~F.col("held_out"))

@@ -14,7 +14,7 @@ from siftstone.llm import textscan as ts
 #: Bits of the feature space; labelled rows that a fit takes at most (the first by hash of doc_id).
 BITS, FIT_ROWS = 18, 8000
 #: Grades: 0 toxic, 1 poor, 2 good. Kept: the chance of more than 1 is at least KEEP.
-GRADES, KEEP = 3, 0.4
+GRADES, KEEP = 3, 0.5
 #: Fit: penalty on squared weights, rounds and step of the optimiser.
 PENALTY, ROUNDS, STEP = 5e-4, 200, 0.3
 #: A feature counts if so many labelled rows have it and a score test of it alone is so many deviations off.
@@ -42,14 +42,16 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     plain = ts.words(column, ts.LETTERS)
     hashes = ts.word_hashes(plain, 0, lower=True)
     shift = np.uint64(64 - bits)
-    kinds = np.zeros((256,), np.int64)
-    kinds[65:91] = 1
-    kinds[[ord(c) for c in "#*$%&|<>{}=!"]] = 1 << 21
-    kinds[48:58] = 1 << 42
-    sums = np.concatenate([[0], np.cumsum(kinds[w.data])])
-    inside = sums[w.end] - sums[w.start]
+    kinds = np.zeros(256, np.uint8)
+    kinds[65:91], kinds[[ord(c) for c in "#*$%&|<>{}=!"]], kinds[48:58] = 1, 2, 3
+    of = kinds[w.data]
     length = w.end - w.start
-    capitals, symbols, digits = inside & 0x1FFFFF, (inside >> 21) & 0x1FFFFF, inside >> 42
+
+    def inside(kind: int) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(of == kind)])
+        return sums[w.end] - sums[w.start]
+
+    capitals, symbols, digits = inside(1), inside(2), inside(3)
     form = (2 * capitals > length) * 1 + (symbols > 0) * 2 + (digits > 0) * 4 + (length > 20) * 8
     pairs = np.unique((plain.row.astype(np.uint64) << np.uint64(bits)) | (hashes >> shift))
     rows, ids = (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -148,7 +150,8 @@ def score(docs: DataFrame, model: Ordinal | None, keep: float = KEEP) -> DataFra
     """(doc_id, n_words, expected_grade, above_lowest, tail_probability, kept) per row of ``docs``.
 
     expected_grade is the sum of the tails P(grade > k); above_lowest is P(grade > 0);
-    tail_probability is that of the best grade; kept if it is at least ``keep``. A null or empty text is scored by its lack of words.
+    tail_probability is that of the best grade; kept if it is at least ``keep``, so also if it is just that. A null or empty text is
+    scored by its lack of words. Repeated rows are scored each; texts of any length are read whole; an empty table gives none.
     Without a model (no labels) all is kept and scores are null. Other columns are ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(_score(model, keep), "doc_id long, n_words long, expected_grade double, above_lowest double, tail_probability double, kept boolean")

@@ -226,7 +226,7 @@ def test_quality_on_held_out_rows(spark):
     seen = quality.score(docs.join(grades.where(held).select("doc_id"), "doc_id", "left_semi"), model).select("doc_id", "kept").join(grades, "doc_id").groupBy("grade", "kept").count().collect()
     count = {(r["grade"], r["kept"]): r["count"] for r in seen}
     share = lambda grade, kept: count.get((grade, kept), 0) / max(1, count.get((grade, True), 0) + count.get((grade, False), 0))
-    assert share(2, True) > 0.97 and share(0, False) > 0.9, count
+    assert share(2, True) > 0.97 and share(1, False) > 0.9 and share(0, False) > 0.85, count
 
 
 def plain_language(train, tests):
@@ -282,7 +282,7 @@ def test_language_against_plain_version(docs_of):
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet")
     held = langid.identify(docs).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id")
-    right, n = held.agg(F.count_if("lang = lang_pred"), F.count("*")).first()
+    right, n = held.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
     assert n > 150 and right / n > 0.98
 
 
