@@ -113,8 +113,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"window must be within {PERIOD + 1} and {ts.SHORT}")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     known = keyed.where("doc_id is not null")
-    scanned = known.mapInArrow(_anchors(window), "doc_id long, text_key long, d1 long, d2 long, n_words long, anchors array<long>")
-    digests = cut(scanned.drop("anchors"))
+    scanned = cut(known.mapInArrow(_anchors(window), "doc_id long, text_key long, d1 long, d2 long, n_words long, anchors array<long>"))
+    digests = scanned.drop("anchors")
     # written out like ``shared`` below, so that the rows of one sequence of words can be split over tasks
     classes = cut(digests.where(F.col("n_words") >= window).groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     copies = digests.join(classes, ["d1", "d2", "n_words"]).where("doc_id > least").select("doc_id", "text_key").distinct()
