@@ -30,7 +30,11 @@ def rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> Data
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("w", F.array_remove(F.split("text", _BLANK), ""))
     rows = rows.withColumn("lines", F.when(F.instr("text", "\n") > 0, F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)))
-    rows = rows.withColumn("grams", F.when(F.size("w") > WINDOW, F.expr(f"transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW})))")))
+    # a hash of each word, then of two, four and five successive ones
+    rows = rows.withColumn("h1", F.when(F.size("w") > WINDOW, F.expr("transform(w, x -> xxhash64(x))")))
+    rows = rows.withColumn("h2", F.expr("zip_with(h1, slice(h1, 2, size(h1)), (x, y) -> xxhash64(x, y))"))
+    rows = rows.withColumn("h4", F.expr("zip_with(h2, slice(h2, 3, size(h1)), (x, y) -> xxhash64(x, y))"))
+    rows = rows.withColumn("grams", F.expr(f"zip_with(slice(h4, 1, size(h1) - {WINDOW - 1}), slice(h1, {WINDOW}, size(h1)), (x, y) -> xxhash64(x, y))"))
     # places of each repeated window: sorted by hash, a neighbour is alike
     rows = rows.withColumn("pairs", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.array_sort(F.expr("transform(grams, (h, i) -> named_struct('h', h, 'i', i))"))))
     alike = "(i > 0 and get(pairs, i - 1).h = x.h) or (i < size(pairs) - 1 and get(pairs, i + 1).h = x.h)"
